@@ -5,10 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyweft.operators.instants import misdated, read_instants
+from storyweft.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "raw_entry").select("entry_id", "source_id", "published", "fetched_at", F.xxhash64("link").alias("link_hash"))
+    instants = read_instants(entries, table(spark, sf_dir, "feed_source"), keep=("link_hash",))
+    raw = instants.select(F.lit("raw_entry").alias("rec"), F.col("entry_id").cast("string").alias("rec_key"), "utc_us")
+    wrong = misdated(table(spark, sf_dir, "item"), instants).select(F.lit("item").alias("rec"), F.col("id").alias("rec_key"), "utc_us")
+    return raw.distinct().unionByName(wrong)
