@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyweft.llm import leakage, lines, neardup, terms, tokenize
+from storyweft.llm import leakage, lines, neardup, stuffing, terms, tokenize
 from storyweft.session import table
 
 
@@ -40,8 +40,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p4_found, p4_scores, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p4_found, p4_scores, p8_ids, p9_found, p10_found)}
 
 
 _TERMS = """
