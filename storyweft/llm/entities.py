@@ -106,10 +106,10 @@ class Lexicon:
             return SHORT[w]
         if w in _FULL and len(_FULL[w]) == 1:
             return next(iter(_FULL[w]))
-        if w in self.common or w in NAMES or len(w) < 3:
+        if w in NAMES or w in _FULL or len(w) < 3:
             return w
         if len(w) <= 5:
-            full = [c for c in self.common if len(c) > len(w) + 1 and c not in NAMES and c[0] == w[0] and _within(w, c)]
+            full = [c for c, n in self.common.items() if len(c) > len(w) + 1 and c not in NAMES and c[0] == w[0] and 3 * count <= n and _within(w, c)]
             start = [c for c in full if c.startswith(w)]
             if len(full) == 1 or len(start) == 1:
                 return (full if len(full) == 1 else start)[0]
@@ -118,6 +118,9 @@ class Lexicon:
             near = [x for x in near if x[0] <= (2 if len(x[1]) >= 7 else 1)]
             if near and (len(near) == 1 or near[1][0] > near[0][0]):
                 return near[0][1]
+            longer = [c for c, n in self.common.items() if len(c) >= 4 and len(w) > len(c) + 2 and w.startswith(c) and c not in NAMES and 3 * count <= n]
+            if len(longer) == 1:  # a common word drawn out, as in News and Newsletter
+                return longer[0]
         return w
 
 
@@ -129,11 +132,11 @@ def _bag(words: list[str], lexicon: Lexicon, counts: dict[str, int]) -> list[str
 
 
 def _keys(bag: list[str], plain: list[list[str]], lexicon: Lexicon) -> Iterator[tuple[str, int]]:
-    """Blocking keys and their kind: 0 alike as they are, 1 a full form, 2 a form with an initial."""
+    """Blocking keys and their kind: 0 alike as they are, 1 a full form, 2 a form with an open word, 3 alike without spaces."""
     for words in plain:
-        yield "=" + "".join(words), 0
-    letters = [w for w in bag if len(w) == 1]
-    long = [w for w in bag if len(w) > 1]
+        yield "=" + "".join(words), 3
+    letters = [w for w in bag if len(w) == 1 or w in _FULL]
+    long = [w for w in bag if w not in letters]
 
     def variants(words: list[str]) -> Iterator[str]:
         yield "|".join(sorted(words))
@@ -144,9 +147,12 @@ def _keys(bag: list[str], plain: list[list[str]], lexicon: Lexicon) -> Iterator[
                     yield "|".join(sorted(rest)) + "~" + k
 
     if letters:
+        for v in variants(bag):
+            yield v, 0
         if len(letters) == 1 and long:
             for v in variants(long):
-                yield f"{letters[0]}.{v}", 2
+                for full in sorted(_FULL.get(letters[0], letters)):
+                    yield f"{full}.{v}", 2
     else:
         for v in variants(bag):
             yield v, 0
@@ -154,6 +160,7 @@ def _keys(bag: list[str], plain: list[list[str]], lexicon: Lexicon) -> Iterator[
             if len(bag) > 1 and (w in NAMES or w in lexicon.common):
                 for v in variants(bag[:i] + bag[i + 1 :]):
                     yield f"{w[0]}.{v}", 1
+                    yield f"{w}.{v}", 1
 
 
 def _one_slip(a: list[str], b: list[str]) -> bool:
@@ -209,14 +216,14 @@ def spellings(names: DataFrame, name: str = "name") -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "kind", "id", "bag"])
 
     keys = cut(records.mapInPandas(keyed, "key string, kind int, id bigint, bag array<string>").withColumn("key", F.xxhash64("key")))
-    one_slip = F.udf(lambda a, b, k: _one_slip(a, b), "boolean")
+    one_slip = F.udf(lambda a, b: _one_slip(a, b), "boolean")
     same = keys.where("kind = 0")
     left, right = same.select("key", F.col("id").alias("a"), F.col("bag").alias("ba")), same.select("key", F.col("id").alias("b"), F.col("bag").alias("bb"))
     # a key holds all words but a letter, so the records of one key are spellings of the same words
-    spaced = F.size("ba") == F.size("bb")
     pairs = left.join(right, "key").where("a < b").select("a", "b", "ba", "bb").distinct()
-    glued = F.sort_array(F.split(F.concat_ws("", "ba"), "")) == F.sort_array(F.split(F.concat_ws("", "bb"), ""))
-    edges = cut(pairs.where((spaced & one_slip("ba", "bb", F.lit(0))) | (~spaced & glued) | (F.size("ba") == 1) | (F.size("bb") == 1)).select("a", "b"))
+    glued = keys.where("kind = 3")
+    first = glued.groupBy("key").agg(F.min("id").alias("a"))
+    edges = cut(pairs.where(one_slip("ba", "bb")).select("a", "b").unionByName(glued.join(first, "key").where("id != a").select("a", F.col("id").alias("b"))))
     initial, full = keys.where("kind = 2").select("key", F.col("id").alias("a"), F.col("bag").alias("ba")), keys.where("kind = 1").select("key", F.col("id").alias("b"), F.col("bag").alias("bb"))
 
     fits = F.udf(lambda a, b: _fits(a, b), "boolean")
@@ -237,10 +244,10 @@ def spellings(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def _fits(a: list[str], b: list[str]) -> bool:
-    """Whether bag a, with one initial, is bag b with one word shortened to it, up to one slip in the rest."""
-    letter = next(w for w in a if len(w) == 1)
-    rest = [w for w in a if len(w) > 1]
-    return any(w[0] == letter and _one_slip(rest, b[:i] + b[i + 1 :]) for i, w in enumerate(b))
+    """Whether bag a, with one initial or nickname of several names, is bag b with one word so shortened, up to one slip in the rest."""
+    letter = next(w for w in a if len(w) == 1 or w in _FULL)
+    rest = [w for w in a if w != letter]
+    return any((w in _FULL[letter] if letter in _FULL else w[0] == letter) and _one_slip(rest, b[:i] + b[i + 1 :]) for i, w in enumerate(b))
 
 
 def spelling_pairs(names: DataFrame, name: str = "name") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyweft.llm import leakage, lines, neardup, stuffing, terms, tokenize
+from storyweft.llm import entities, leakage, lines, neardup, stuffing, terms, tokenize
 from storyweft.session import table
 
 
@@ -32,6 +32,13 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.distinctiveness(table(spark, sf_dir, "item")).withColumn("score", F.round("score", 6))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    typed = table(spark, sf_dir, "item").select(F.col("publisher").alias("name"))
+    return entities.spelling_pairs(typed.unionAll(table(spark, sf_dir, "story").select(F.explode("publishers"))))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -45,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p4_found, p4_scores, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p4_found, p4_scores, p7_found, p8_ids, p9_found, p10_found)}
 
 
 _TERMS = """
