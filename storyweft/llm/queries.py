@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyweft.llm import entities, leakage, lines, neardup, stuffing, terms, tokenize
+from storyweft.llm import entities, furniture, leakage, lines, neardup, residue, stuffing, terms, tokenize
 from storyweft.session import table
 
 
@@ -32,6 +32,18 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.distinctiveness(table(spark, sf_dir, "item")).withColumn("score", F.round("score", 6))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "article")).select("id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture.furniture(table(spark, sf_dir, "article"))
+
+
+def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture.main_text(table(spark, sf_dir, "article"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -52,7 +64,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p4_found, p4_scores, p7_found, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_clean, p4_found, p4_scores, p5_found, p6_found, p6_main_text, p7_found, p8_ids, p9_found, p10_found)}
 
 
 _TERMS = """
