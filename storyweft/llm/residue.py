@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from storyweft.llm.pages import OUTSIDE, TAG, classified, visible
 
-WHOLE, LIKELY = 0.4, 0.15  # share of a line's class on pages without a paragraph: of an error template; of what may be one
+WHOLE, LIKELY = 0.4, 0.1  # share of a line's class on pages without a paragraph: of an error template; of what may be one
 CONTENT = 0.12  # and the share under which a line is ordinary content
 USUAL = 0.02  # share of all records from which a word is usual, so that a record's words times 1/0.02 bounds their number
-FILLER_WORDS, FILLER_SHARE = 12, 0.2  # words of a line that is filler if less than that share of them is usual
+FILLER_WORDS, FILLER_SHARE, FILLER_DISTINCT = 12, 0.2, 0.35  # words of a line that is filler if less than that share of them is usual, or distinct
 
 # How template languages and editors write a slot that is still to be filled.
 SLOTS = [
@@ -54,7 +54,7 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
     """Columns ``key, slot, filler, whole_page``: records whose title or content isn't a real report, and why.
 
     ``slot``: title or content holds a slot with its variable name or default, or is nothing but stray program values. ``filler``:
-    a long line of words that other records don't use. ``whole_page``: records are aligned line by line (``classified``);
+    a long line of words that other records don't use, or of few words over and over. ``whole_page``: records are aligned line by line (``classified``);
     a line class found on records without any paragraph for the most part is an error template, and a record of such
     lines with no paragraph is an error page. A report that mentions such words, or whose furniture asks for scripts, has
     paragraphs and no slot.
@@ -82,7 +82,7 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
                 for v in shown:
                     if v.count(" ") + 1 >= FILLER_WORDS:
                         w = WORDS.findall(v.casefold())
-                        odd = odd or len(w) >= FILLER_WORDS and sum(x in words for x in w) < FILLER_SHARE * len(w)
+                        odd = odd or len(w) >= FILLER_WORDS and (sum(x in words for x in w) < FILLER_SHARE * len(w) or len(set(w)) < FILLER_DISTINCT * len(w))
                 filler.append(odd)
             out = pdf[["k"]].assign(slot=slot, filler=filler)
             yield out[out["slot"] | out["filler"]]
