@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyweft.llm.pages import OUTSIDE, TAG, classified, visible
+from storyweft.llm.pages import OUTSIDE, TAG, classified, visible_lines
 
 WHOLE, LIKELY = 0.4, 0.1  # share of a line's class on pages without a paragraph: of an error template; of what may be one
 CONTENT = 0.12  # and the share under which a line is ordinary content
@@ -28,7 +28,6 @@ SLOTS = [
 SLOT = re.compile("|".join(SLOTS))
 # What programs print for a value that isn't there.
 STRAY = re.compile(r"(?:undefined|null|NaN|None|nil|N/A|\(null\)|\[object \w+\])(?:[\s,;|/-]+(?:undefined|null|NaN|None|nil|N/A|\(null\)|\[object \w+\]))*")
-WORDS = re.compile(r"[^\W\d_]+")
 KEPT = re.compile(r"<(?![%/A-Z][A-Z_]*[%>])[^>]*>")
 
 
@@ -43,7 +42,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            total.update(set(WORDS.findall(TAG.sub(" ", text).casefold())))
+            total.update(set(TAG.sub(" ", text).casefold().split()))
             if len(total) > 300_000:  # sums are added up in the shuffle anyway
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
                 total.clear()
@@ -75,14 +74,14 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
         for pdf in batches:
             slot, filler = [], []
             for t, c in zip(pdf["title"], pdf["content"]):
-                shown = [v for v in map(visible, c.split("\n")) if v] if c else []
+                shown = [v for _, _, v in visible_lines(c)]
                 stray = bool(shown) and all(STRAY.fullmatch(v) for v in shown) or bool(t) and bool(STRAY.fullmatch(t.strip()))
                 slot.append(stray or holds_slot(t) or holds_slot(c))
                 odd = False
                 for v in shown:
                     if v.count(" ") + 1 >= FILLER_WORDS:
-                        w = WORDS.findall(v.casefold())
-                        odd = odd or len(w) >= FILLER_WORDS and (sum(x in words for x in w) < FILLER_SHARE * len(w) or len(set(w)) < FILLER_DISTINCT * len(w))
+                        w = v.casefold().split(" ")
+                        odd = odd or len(set(w)) < FILLER_DISTINCT * len(w) or sum(map(words.__contains__, w)) < FILLER_SHARE * len(w)
                 filler.append(odd)
             out = pdf[["k"]].assign(slot=slot, filler=filler)
             yield out[out["slot"] | out["filler"]]
