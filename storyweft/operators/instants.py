@@ -60,11 +60,11 @@ class _Part:
     """A range partition: sources, readings by offset; ``solve`` gives the place of each record's reading."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        self.rows = table.num_rows
-        self.table = table
-        if not self.rows:
+        got = [b for b in batches if b.num_rows]
+        self.rows = sum(b.num_rows for b in got)
+        if not got:
             return
+        self.table = table = pa.Table.from_batches(got).combine_chunks()
         col = lambda name: table.column(name).chunk(0)
         self.offset = col("us").offsets.to_numpy().astype(np.int64)
         self.form, self.us, self.cost = (col(x).values.to_numpy() for x in ("form", "us", "cost"))
@@ -158,7 +158,7 @@ def read_instants(entries: DataFrame, sources: DataFrame, key: str = "entry_id",
             return
         at = part.offset[:-1] + part.solve(shared.value.get(part.table.column("block")[0].as_py(), {}))
         names = pa.array(FORMS).take(pa.array(part.form[at]))
-        columns = [part.table.column(c).combine_chunks().chunk(0) if isinstance(part.table.column(c).combine_chunks(), pa.ChunkedArray) else part.table.column(c).combine_chunks() for c in passed]
+        columns = [part.table.column(c).chunk(0) for c in passed]
         yield pa.RecordBatch.from_arrays([*columns, names, pa.array(part.us[at])], names=[*passed, "form", "utc_us"])
 
     out = ordered.mapInArrow(choose, f"{head}, form string, utc_us bigint")
