@@ -2,59 +2,135 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PROSE_SHARE = 0.10  # a word is prose in a language if that share of its pages holds it; so a page's length times 1/0.10 bounds their number
+from storyweft.session import cut
+
+PROSE_SHARE = 0.10  # a word is prose in a language if that share of its pages holds it, so a page's words times 1/0.10 bounds their number
+TAG_SHARE, TAG_PAGES = 0.001, 5  # of all tagged pages a language has at least these, so a thousand languages at most
 SURPLUS, SPARE = 3.0, 2.0  # of a prose word counts at most SURPLUS times what is usual, and SPARE occurrences
 HALF, EXTREME = 0.5, 0.25  # share of the usual prose under which a page is suspect, and under which it needs no further sign
 STEEP, ODD = 1.0, 1.0  # robust deviations of slope and residual that confirm a suspect page
 FEW = 12  # pages of a language and length that make a baseline of their own
 
+CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
+LINK = re.compile(r"</?a\b", re.I)
+WORDS = re.compile(r"[^\W_]+").findall
 
-def page_words(text: Column) -> Column:
+
+def page_words(text: str) -> list[str]:
     """Words of a page in lower case: runs of letters and digits, CamelCase apart, without the names of link tags."""
-    apart = F.regexp_replace(F.regexp_replace(text, r"(?<=\p{Ll})(?=\p{Lu})", " "), r"(?i)</?a\b", " ")
-    return F.regexp_extract_all(F.lower(apart), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return WORDS(CAMEL.sub(" ", LINK.sub(" ", text) if "<" in text else text).lower())
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each language tag and word the pages that hold it and its occurrences; of the empty word pages and tokens."""
+    held: dict[str, Counter] = {}
+    times: dict[str, Counter] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(t, w, n, times[t][w]) for t, c in held.items() for w, n in c.items()]
+        held.clear()
+        times.clear()
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["tag", "word", "held", "times"])
+
+    for batch in batches:
+        for tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            c = Counter(page_words(text))
+            held.setdefault(tag, Counter()).update(c.keys())
+            times.setdefault(tag, Counter()).update(c)
+            held[tag][""] += 1
+            times[tag][""] += sum(c.values())
+        if sum(map(len, held.values())) > 400_000:  # added up in the shuffle
+            yield out()
+    yield out()
+
+
+def prose_words(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict[str, float]]:
+    """Of each language its prose words with their usual share of tokens, learnt from all pages by their tags.
+
+    Tags are in lower case, null, empty and ``und`` aside; wrong ones among many right ones do no harm.
+    """
+    tag = F.lower(F.trim(F.col(lang)))
+    source = documents.select(tag.alias("tag"), F.col(text).alias("text")).where("tag is not null and tag not in ('', 'und') and text is not null")
+    summed = source.mapInArrow(_counts, "tag string, word string, held bigint, times bigint").groupBy("tag", "word").agg(F.sum("held").alias("held"), F.sum("times").alias("times"))
+    whole = summed.where("word = ''").select("tag", F.col("held").alias("pages"), F.col("times").alias("tokens"))
+    total = whole.agg(F.sum("pages").alias("all"))
+    known = whole.join(total, (F.col("pages") >= TAG_PAGES) & (F.col("pages") >= TAG_SHARE * F.col("all"))).drop("all")
+    common = summed.where("word != ''").join(known, "tag").where(F.col("held") >= PROSE_SHARE * F.col("pages")).select("tag", "word", (F.col("times") / F.col("tokens")).alias("q"))
+    out: dict[str, dict[str, float]] = {}
+    for r in common.collect():  # bounded, see PROSE_SHARE and TAG_SHARE
+        out.setdefault(r["tag"], {})[r["word"]] = r["q"]
+    return dict(sorted(out.items()))
 
 
 def curves(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Columns ``doc, n, slope, residual, prose, language``: a row for each page that has words.
 
-    A page's words are ranked by frequency in a window; ``slope`` and ``residual`` are those of the line through
-    log frequency by log rank. ``prose`` is the share of its words that are prose words in any language, each capped by
-    its usual frequency; ``language`` is the one whose prose words cover most of the page, since tags are wrong at times.
-    Prose words are learnt from all pages by their language tags (lower case; null, empty and ``und`` aside).
+    A page's frequencies, each with the number of words that have it, are ranked by a window over the page; words of one frequency share
+    the middle of their ranks. ``slope`` and ``residual`` are those of the line through log frequency by log rank, each
+    frequency counting as often as it has words. ``prose`` is the share of the page's words that are prose words of any
+    language, each capped by its usual share; ``language`` is the one whose prose words cover most of the page.
     """
-    base = documents.select(F.col(key).alias("doc"), F.lower(F.trim(F.col(lang))).alias("tag"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    words = base.dropDuplicates(["doc"]).select("doc", F.when(F.col("tag").isin("", "und"), None).otherwise(F.col("tag")).alias("tag"), F.explode(page_words(F.col("text"))).alias("word"))
-    # partitioned by page already: counts and windows need no further shuffle
-    counted = words.groupBy("doc", "word").agg(F.count("*").alias("c"), F.first("tag").alias("tag"))
-    counted = counted.withColumn("n", F.sum("c").over(Window.partitionBy("doc")))
-    # per language, how often and on how many pages
-    tagged = counted.where("tag is not null")
-    pages = tagged.groupBy("tag").agg(F.countDistinct("doc").alias("pages"), F.sum("c").alias("tokens"))
-    pages = pages.where("pages >= 5").join(pages.agg(F.sum("pages").alias("all")), F.col("pages") >= 0.001 * F.col("all")).drop("all")  # so a thousand tags at most
-    background = tagged.groupBy("tag", "word").agg(F.count("*").alias("held"), F.sum("c").alias("times")).join(pages, "tag").where(F.col("held") >= PROSE_SHARE * F.col("pages"))
-    usual = background.groupBy("word").agg(F.max(F.col("times") / F.col("tokens")).alias("q"), F.collect_set("tag").alias("tags"))  # a few thousand rows
-    w = Window.partitionBy("doc").orderBy(F.desc("c"), "word")
-    ranked = counted.join(usual, "word", "left").withColumn("x", F.log(F.row_number().over(w).cast("double"))).withColumn("y", F.log(F.col("c").cast("double")))
-    capped = F.when(F.col("q").isNull(), 0.0).otherwise(F.least(F.col("c"), SPARE + SURPLUS * F.col("q") * F.col("n")))
-    known = [r["tag"] for r in pages.orderBy(F.desc("pages"), "tag").collect()]
-    cover = [F.sum(F.when(F.array_contains("tags", t), capped).otherwise(0.0)).alias(f"l{i}") for i, t in enumerate(known)]
-    sums = ranked.groupBy("doc").agg(
-        F.first("n").alias("n"), F.count("*").alias("k"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(capped).alias("prose"), *cover,
-    )
+    usual = prose_words(documents, text, lang)
+    best: dict[str, float] = {}
+    for words in usual.values():
+        for w, q in words.items():
+            best[w] = max(q, best.get(w, 0.0))
+    shared = documents.sparkSession.sparkContext.broadcast((usual, best))
+    source = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    kind = source.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, any_ = shared.value
+        for batch in batches:
+            at, n_, prose_, language_, c_, m_ = [], [], [], [], [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                counts = Counter(page_words(t))
+                n = sum(counts.values())
+                if not n:
+                    continue
+                prose, cover = 0.0, dict.fromkeys(languages, 0.0)
+                for w in counts.keys() & any_.keys():
+                    v = min(counts[w], SPARE + SURPLUS * any_[w] * n)
+                    prose += v
+                    for name, words in languages.items():
+                        if w in words:
+                            cover[name] += v
+                spectrum = Counter(counts.values())
+                for c, m in spectrum.items():
+                    at.append(i)
+                    n_.append(n)
+                    prose_.append(prose / n)
+                    language_.append(max(cover, key=cover.get) if cover else None)
+                    c_.append(c)
+                    m_.append(m)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(take), batch.column("doc").take(take), pa.array(n_, pa.int64()), pa.array(prose_, pa.float64()), pa.array(language_, pa.string()), pa.array(c_, pa.int64()), pa.array(m_, pa.int64())],
+                names=["row", "doc", "n", "prose", "language", "c", "m"],
+            )
+
+    spectrum = source.mapInArrow(run, f"row bigint, doc {kind}, n bigint, prose double, language string, c bigint, m bigint")
+    w = Window.partitionBy("row").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.sum("m").over(w) - (F.col("m") - 1) / 2.0
+    ranked = spectrum.withColumn("x", F.log(middle)).withColumn("y", F.log(F.col("c").cast("double")))
+    m, x, y = F.col("m"), F.col("x"), F.col("y")
+    sums = ranked.groupBy("row").agg(
+        *(F.first(c).alias(c) for c in ("doc", "n", "prose", "language")), F.sum("m").alias("k"), F.sum(m * x).alias("sx"), F.sum(m * y).alias("sy"), F.sum(m * x * x).alias("sxx"), F.sum(m * x * y).alias("sxy"), F.sum(m * y * y).alias("syy")
+    )
     vx, vy, vxy = (F.col(a) / F.col("k") - F.col(b) * F.col(c) / F.col("k") / F.col("k") for a, b, c in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
     slope = F.when(vx > 1e-12, -vxy / vx).otherwise(F.when(F.col("k") == 1, F.col("n").cast("double")).otherwise(0.0))
     residual = F.sqrt(F.greatest(F.lit(0.0), vy - F.when(vx > 1e-12, vxy * vxy / vx).otherwise(0.0)))
-    if known:
-        best = F.array_max(F.array(*(F.struct(F.col(f"l{i}").alias("v"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, t in enumerate(known))))["t"]
-    else:
-        best = F.lit(None).cast("string")
-    return sums.select("doc", "n", slope.alias("slope"), residual.alias("residual"), (F.col("prose") / F.col("n")).alias("prose"), best.alias("language"))
+    return sums.select("doc", "n", slope.alias("slope"), residual.alias("residual"), "prose", "language")
 
 
 def stuffed(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -64,16 +140,16 @@ def stuffed(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     prose share, median and deviation of slope and residual. A page with less than HALF of the usual prose is flagged
     if its curve is steeper or further from a line than theirs, and without more if it has less than EXTREME of it.
 
-    Null, empty and wordless texts, and null keys, are not flagged; of rows with one key one is judged; ties in rank go by word. Other
-    columns are not read; an empty table gives an empty result.
+    Null, empty and wordless texts, those of up to three words, and null keys, are not flagged; rows with one key are judged each.
+    Other columns are not read; an empty table gives an empty result.
     """
-    page = curves(documents, key, text, lang).withColumn("size", F.floor(F.log2("n")))
+    page = cut(curves(documents, key, text, lang).withColumn("size", F.floor(F.log2(F.col("n").cast("double")))))
 
-    def middle(of: DataFrame, by: list[str], prefix: str) -> DataFrame:
-        return of.groupBy(*by).agg(F.count("*").alias(f"{prefix}many"), *(F.percentile_approx(c, [0.5, 0.84], 2000).alias(f"{prefix}{c}") for c in ("slope", "residual", "prose")))
+    def middle(by: list[str], prefix: str) -> DataFrame:
+        return page.groupBy(*by).agg(F.count("*").alias(f"{prefix}many"), *(F.percentile_approx(c, [0.5, 0.84], 2000).alias(f"{prefix}{c}") for c in ("slope", "residual", "prose")))
 
-    fine, wide = middle(page, ["language", "size"], "a_"), middle(page, ["language"], "b_")
-    both = page.join(F.broadcast(fine), ["language", "size"], "left").join(F.broadcast(wide), "language", "left")  # a row for each language and power of two
+    fine, wide = middle(["language", "size"], "a_"), middle(["language"], "b_")
+    both = page.join(F.broadcast(fine), ["language", "size"], "left").join(F.broadcast(wide), "language", "left")  # a row for each known language and power of two
     pick = lambda c, i: F.when(F.col("a_many") >= FEW, F.col(f"a_{c}")[i]).otherwise(F.col(f"b_{c}")[i])
     deviation = lambda c: (F.col(c) - pick(c, 0)) / (F.greatest(pick(c, 1) - pick(c, 0), F.lit(0.0)) + 0.02)
     relative = F.col("prose") / pick("prose", 0)
