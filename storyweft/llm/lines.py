@@ -45,9 +45,8 @@ def repeated_lines(articles: DataFrame, key: str = "id", site: str = "site_name"
     """Columns ``site, line_hash, articles, site_articles, outside, ratio``: lines with significant excess in a site.
 
     For each site and compared line the number of the site's distinct articles that hold it is tested against
-    its frequency outside: all other sites, but for those where the line is itself repeated excessively (at least
-    ``least`` articles and ``share`` of the site), plus a prior of half an article in as many as there are in all,
-    since most lines occur in one article only. The ratios' p-values are held against a Benjamini-Hochberg bound at
+    its frequency outside: all other sites but those that repeat the line too, plus a prior of half an article in as many as there
+    are in all, since most lines occur in one article only. The ratios' p-values are held against a Benjamini-Hochberg bound at
     ``fdr`` over all tested lines; counts by ratio are kept in a table of bounded size, never sorted as rows.
     Returned are the significant lines with at least ``least`` articles and ``share`` of the site.
 
@@ -62,18 +61,13 @@ def repeated_lines(articles: DataFrame, key: str = "id", site: str = "site_name"
     total = sites.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n"))
     counted = inside.join(sites, "site").crossJoin(F.broadcast(total))  # one row
     excess = (F.col("k1") >= least) & (F.col("k1") >= share * F.col("n1"))
-    counted = counted.withColumn("excess", excess)
-    # a line held once needs no test: its rate can't exceed the others' by anything significant
-    tested = counted.where("k1 > 1")
-    outside = tested.groupBy("line_hash").agg(
-        F.sum("k1").alias("all_k"), F.sum(F.when(F.col("excess"), F.col("k1")).otherwise(0)).alias("ex_k"), F.sum(F.when(F.col("excess"), F.col("n1")).otherwise(0)).alias("ex_n")
-    )
-    own_k, own_n = (F.when(F.col("excess"), 0).otherwise(F.col(x)) for x in ("k1", "n1"))
-    k2 = F.col("all_k") - F.col("ex_k") - own_k
-    n2 = F.col("n") - F.col("ex_n") - own_n
+    # sites that repeat the line too say nothing about how often it occurs by chance
+    outside = counted.groupBy("line_hash").agg(F.sum((F.col("k1") == 1).cast("int")).alias("k2"), F.sum(F.when(F.col("k1") > 1, F.col("n1")).otherwise(0)).alias("repeating"))
+    tested = counted.where("k1 > 1")  # a line held once can't be in significant excess
+    n2 = F.col("n") - F.col("repeating")
     scored = tested.join(outside, "line_hash").select(
-        "site", "line_hash", F.col("k1").alias("articles"), F.col("n1").alias("site_articles"), k2.alias("outside"), "excess",
-        _ratio(F.col("k1").cast("double"), F.col("n1").cast("double"), k2 + F.lit(0.5), (n2 + F.col("n")).cast("double")).alias("ratio"),
+        "site", "line_hash", F.col("k1").alias("articles"), F.col("n1").alias("site_articles"), F.col("k2").alias("outside"), excess.alias("excess"),
+        _ratio(F.col("k1").cast("double"), F.col("n1").cast("double"), F.col("k2") + F.lit(0.5), (n2 + F.col("n")).cast("double")).alias("ratio"),
     )
     bins = scored.groupBy(F.floor(F.least("ratio", F.lit(TOP)) * BINS_PER_UNIT).alias("bin")).agg(F.count("*").alias("n"))
     singles = counted.where("k1 = 1").agg(F.count("*").alias("untested"))
