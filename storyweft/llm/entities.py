@@ -157,10 +157,11 @@ def _keys(bag: list[str], plain: list[list[str]], lexicon: Lexicon) -> Iterator[
         for v in variants(bag):
             yield v, 0
         for i, w in enumerate(bag):  # each word may stand as an initial
-            if len(bag) > 1 and (w in NAMES or w in lexicon.common):
+            if len(bag) > 1:
                 for v in variants(bag[:i] + bag[i + 1 :]):
                     yield f"{w[0]}.{v}", 1
-                    yield f"{w}.{v}", 1
+                    if w in NAMES:
+                        yield f"{w}.{v}", 1
 
 
 def _one_slip(a: list[str], b: list[str]) -> bool:
