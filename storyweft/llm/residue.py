@@ -17,7 +17,8 @@ from storyweft.llm.pages import OUTSIDE, TAG, classified, visible_lines
 WHOLE, LIKELY = 0.4, 0.1  # share of a line's class on pages without a paragraph: of an error template; of what may be one
 CONTENT = 0.12  # and the share under which a line is ordinary content
 USUAL = 0.02  # share of all records from which a word is usual, so that a record's words times 1/0.02 bounds their number
-FILLER_WORDS, FILLER_SHARE, FILLER_DISTINCT = 12, 0.2, 0.35  # words of a line that is filler if less than that share of them is usual, or distinct
+FILLER_WORDS, FILLER_SHARE, FILLER_DISTINCT = 12, 0.2, 0.35  # words of a line that is filler if less than that share of them is usual, or, of a stretch, distinct
+STRETCH = 48
 
 # How template languages and editors write a slot that is still to be filled.
 SLOTS = [
@@ -49,6 +50,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
 
+def _few_words(w: list[str]) -> bool:
+    """Whether most stretches of STRETCH words, so that length alone doesn't tell, have few distinct ones."""
+    parts = [w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
+    if len(parts) > 1 and len(parts[-1]) < FILLER_WORDS:
+        parts.pop()
+    return 2 * sum(len(set(p)) < FILLER_DISTINCT * len(p) for p in parts) > len(parts)
+
+
 def residue(articles: DataFrame, key: str = "id", title: str = "title", content: str = "content", site: str = "site_name", lines: DataFrame | None = None) -> DataFrame:
     """Columns ``key, slot, filler, whole_page``: records whose title or content isn't a real report, and why.
 
@@ -81,7 +90,7 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
                 for v in shown:
                     if v.count(" ") + 1 >= FILLER_WORDS:
                         w = v.casefold().split(" ")
-                        odd = odd or len(set(w)) < FILLER_DISTINCT * len(w) or sum(map(words.__contains__, w)) < FILLER_SHARE * len(w)
+                        odd = odd or _few_words(w) or sum(map(words.__contains__, w)) < FILLER_SHARE * len(w)
                 filler.append(odd)
             out = pdf[["k"]].assign(slot=slot, filler=filler)
             yield out[out["slot"] | out["filler"]]
