@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from storyweft.session import cut
 
 PROSE_SHARE = 0.10  # a word is prose in a language if that share of its pages holds it, so a page's words times 1/0.10 bounds their number
-TAG_SHARE, TAG_PAGES = 0.001, 5  # of all tagged pages a language has at least these, so a thousand languages at most
+TAG_SHARE, TAG_PAGES = 0.001, 11  # of all tagged pages a language has at least these, so a thousand languages at most
 SURPLUS, SPARE = 3.0, 2.0  # of a prose word counts at most SURPLUS times what is usual, and SPARE occurrences
 HALF, EXTREME = 0.5, 0.25  # share of the usual prose under which a page is suspect, and under which it needs no further sign
 STEEP, ODD = 1.0, 1.0  # robust deviations of slope and residual that confirm a suspect page
@@ -62,6 +62,8 @@ def prose_words(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     tag = F.lower(F.trim(F.col(lang)))
     source = documents.select(tag.alias("tag"), F.col(text).alias("text")).where("tag is not null and tag not in ('', 'und') and text is not null")
     summed = source.mapInArrow(_counts, "tag string, word string, held bigint, times bigint").groupBy("tag", "word").agg(F.sum("held").alias("held"), F.sum("times").alias("times"))
+    # a tenth of eleven pages is more than one; read several times, so cut
+    summed = cut(summed.where("held > 1 or word = ''"))
     whole = summed.where("word = ''").select("tag", F.col("held").alias("pages"), F.col("times").alias("tokens"))
     total = whole.agg(F.sum("pages").alias("all"))
     known = whole.join(total, (F.col("pages") >= TAG_PAGES) & (F.col("pages") >= TAG_SHARE * F.col("all"))).drop("all")
