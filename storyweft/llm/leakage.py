@@ -14,6 +14,7 @@ from storyweft.llm.shingles import WORDS, Hasher, inside, runs
 
 SPAN = 13  # words that make a leak
 GRAM = 9  # words of a fingerprint; windows of SPAN - GRAM + 1 fingerprints keep their least, so no span is missed
+SALTS = 16
 SENT = 2_000_000  # fingerprints of the evaluation side up to which they are sent to the workers as a filter
 
 
@@ -91,7 +92,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
     wanted = None
     if test_prints.limit(SENT + 1).count() <= SENT:
         wanted = spark.sparkContext.broadcast(np.unique(np.array([r.print for r in test_prints.select("print").distinct().collect()], np.int64).view(np.uint64)))
-    hits = _print_table(docs, gram, span, short, False, wanted).distinct().join(test_prints, "print").select("d", "i").distinct()
+    # one print, or one item, may be in a third of all documents
+    salt, every = F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    held = _print_table(docs, gram, span, short, False, wanted).distinct().withColumn("salt", salt)
+    hits = held.join(test_prints.withColumn("salt", every), ["print", "salt"]).select("d", "i").distinct()
 
     def check(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -111,5 +115,5 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
             yield pdf.loc[ok, ["d", "i"]]
 
     schema = f"d {docs.schema['d'].dataType.simpleString()}, i {tests.schema['i'].dataType.simpleString()}"
-    full = docs.join(hits, "d").join(tests, "i").select("d", "t", "i", "u").mapInPandas(check, schema)
+    full = docs.join(hits, "d").withColumn("salt", salt).join(tests.withColumn("salt", every), ["i", "salt"]).select("d", "t", "i", "u").mapInPandas(check, schema)
     return full.select(F.col("d").alias(doc), F.col("i").alias(item)).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 FDR = 0.05
+SALTS = 16
 BINS_PER_UNIT = 20  # resolution of the ratio in the false-discovery table
 TOP = 2000.0  # larger ratios share the last bin; the table has at most TOP * BINS_PER_UNIT rows
 
@@ -79,11 +80,11 @@ def repeated_lines(articles: DataFrame, key: str = "id", site: str = "site_name"
 
 def found_lines(articles: DataFrame, least: int = 5, share: float = 0.1, **columns: str) -> DataFrame:
     """Columns ``site_name, line``: :func:`repeated_lines` with the lines' text in compared form."""
-    site, content = columns.get("site", "site_name"), columns.get("content", "content")
-    hits = repeated_lines(articles, least=least, share=share, **columns).select("site", "line_hash")
-    text = articles.select(F.col(site).alias("site"), F.explode(F.array_distinct(split_lines(F.col(content)))).alias("line")).where("site is not null and line != ''")
-    # short rows first: only lines whose hash is wanted are moved
-    return text.withColumn("line_hash", F.xxhash64("line")).join(hits, ["site", "line_hash"], "left_semi").select(F.col("site").alias("site_name"), "line").distinct()
+    site, content, key = columns.get("site", "site_name"), columns.get("content", "content"), columns.get("key", "id")
+    hits = repeated_lines(articles, least=least, share=share, **columns).select("site", "line_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")  # a line may be in a third of all articles
+    text = articles.select(F.col(site).alias("site"), salt.alias("salt"), F.explode(F.array_distinct(split_lines(F.col(content)))).alias("line")).where("site is not null and line != ''")
+    return text.withColumn("line_hash", F.xxhash64("line")).join(hits, ["site", "line_hash", "salt"], "left_semi").select(F.col("site").alias("site_name"), "line").distinct()
 
 
 def without_repeated_lines(articles: DataFrame, key: str = "id", site: str = "site_name", content: str = "content") -> DataFrame:
@@ -96,6 +97,7 @@ def without_repeated_lines(articles: DataFrame, key: str = "id", site: str = "si
     one = articles.select(F.col(key).alias("k"), F.col(site).alias("s"), F.col(content).alias("c")).where("k is not null")
     one = one.groupBy("k").agg(F.max_by(F.struct("s", "c"), F.xxhash64("c")).alias("x"), F.max(F.struct("s", "c")).alias("y")).select("k", F.coalesce("x", "y").alias("x")).select("k", "x.s", "x.c")
     lines = one.select("k", "s", F.posexplode(F.split("c", "\n")).alias("pos", "line")).withColumn("h", F.xxhash64(compared(F.col("line"))))
-    kept = lines.join(hits, ["s", "h"], "left_anti")
+    spread = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = lines.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(spread, ["s", "h", "salt"], "left_anti")
     body = kept.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return one.select("k").join(body, "k", "left").select(F.col("k").alias(key), F.coalesce("body", F.lit("")).alias(content))
