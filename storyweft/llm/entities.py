@@ -36,7 +36,7 @@ peter: pete; philip: phil pip; rebecca: becky becca; richard: rich rick ricky di
 theodora: dora thea teddie theo; theodore: theo ted teddy; thomas: tom tommy; timothy: tim; victoria: vicky tori; walter: walt wally; william: will bill billy willie liam
 """
 # Usual short forms of words in names of bodies.
-SHORT = {"st": "saint", "dept": "department", "dep": "department", "univ": "university", "uni": "university", "intl": "international", "natl": "national", "soc": "society", "assoc": "association", "inst": "institute", "govt": "government", "bros": "brothers", "corp": "corporation", "co": "company"}
+SHORT = {"st": "saint", "dept": "department", "dep": "department", "univ": "university", "uni": "university", "intl": "international", "natl": "national", "soc": "society", "assoc": "association", "inst": "institute", "govt": "government", "bros": "brothers", "corp": "corporation"}
 DROPPED = {"the", "of", "and", "online", "for", "at", "in"}
 DOMAIN = re.compile(r"(?:https?://)?(?:www\.)?([a-z0-9-]+)(?:\.[a-z]{2,})+/?", re.I)
 
@@ -131,11 +131,16 @@ def _bag(words: list[str], lexicon: Lexicon, counts: dict[str, int]) -> list[str
     return sorted(full if len(full) > 1 else out)  # a middle initial goes
 
 
+def _open(w: str) -> bool:
+    """Whether a word may stand for several: an initial, a nickname of several names, a short form that isn't settled."""
+    return len(w) == 1 or w in _FULL or (len(w) <= 3 and w.isalpha() and w not in NAMES)
+
+
 def _keys(bag: list[str], plain: list[list[str]], lexicon: Lexicon) -> Iterator[tuple[str, int]]:
     """Blocking keys and their kind: 0 alike as they are, 1 a full form, 2 a form with an open word, 3 alike without spaces."""
     for words in plain:
         yield "=" + "".join(words), 3
-    letters = [w for w in bag if len(w) == 1 or w in _FULL]
+    letters = [w for w in bag if _open(w)]
     long = [w for w in bag if w not in letters]
 
     def variants(words: list[str]) -> Iterator[str]:
@@ -151,7 +156,7 @@ def _keys(bag: list[str], plain: list[list[str]], lexicon: Lexicon) -> Iterator[
             yield v, 0
         if len(letters) == 1 and long:
             for v in variants(long):
-                for full in sorted(_FULL.get(letters[0], letters)):
+                for full in sorted(_FULL.get(letters[0], letters[0][0])):
                     yield f"{full}.{v}", 2
     else:
         for v in variants(bag):
@@ -245,10 +250,10 @@ def spellings(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def _fits(a: list[str], b: list[str]) -> bool:
-    """Whether bag a, with one initial or nickname of several names, is bag b with one word so shortened, up to one slip in the rest."""
-    letter = next(w for w in a if len(w) == 1 or w in _FULL)
+    """Whether bag a, with one open word, is bag b with one word so shortened, up to one slip in the rest."""
+    letter = next(w for w in a if _open(w))
     rest = [w for w in a if w != letter]
-    return any((w in _FULL[letter] if letter in _FULL else w[0] == letter) and _one_slip(rest, b[:i] + b[i + 1 :]) for i, w in enumerate(b))
+    return any((w in _FULL[letter] if letter in _FULL else len(w) > len(letter) and w[0] == letter[0] and _within(letter, w)) and _one_slip(rest, b[:i] + b[i + 1 :]) for i, w in enumerate(b))
 
 
 def spelling_pairs(names: DataFrame, name: str = "name") -> DataFrame:

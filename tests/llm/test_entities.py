@@ -11,6 +11,7 @@ SAME = [
     ["Edward Pellow", "Ted Pellow"],
     ["University of Skelling", "U. of Skelling", "Univ. of Skelling"],
     ["Saint Hob Parish News", "St. Hob Parish News", "Saint Hob Parish Newsletter"],
+    ["Skelling & County Radio", "Skelling and County Radio", "Skelling & Co. Radio"],
     ["Elizabeth Varrow"], ["Edith Varrow"], ["E Varrow"],
 ]
 TOWNS = ["Harlwick", "Bremston", "Duxholm", "Oakvale", "Pellham", "Quarrby", "Runsgate", "Stavely", "Umbridge", "Wexcombe"]
