@@ -21,6 +21,7 @@ from storyweft.session import cut, width
 SWITCH = 1.0  # cost of another format than the record before
 BACK = 1.0  # cost of an instant more than SLACK before the record before
 SLACK = 2 * 86_400_000_000
+SALTS = 16
 FORMS = ["epoch", "ymd", "compact", "dmy", "mdy", "slash-mdy", "slash-dmy", "dots"]
 
 Cand = list[tuple[int, int, float]]  # (format, instant, cost) of a record's readings
@@ -117,7 +118,9 @@ def read_instants(entries: DataFrame, sources: DataFrame, key: str = "entry_id",
     spark = entries.sparkSession
     known = sources.select(F.col("id").alias("source_id"), "tz", "edition").dropDuplicates(["source_id"])
     base = entries.select(F.col(key).alias("k"), F.col(source).alias("source_id"), F.col(text).alias("t"), F.col(order).alias("o"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
-    joined = base.join(known, "source_id", "left").select("k", "source_id", "t", "o", "tz", "edition", *(f"keep_{i}" for i in range(len(keep))))
+    salt = F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")  # one source may have a third of all records
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = base.withColumn("salt", salt).join(spread, ["source_id", "salt"], "left").select("k", "source_id", "t", "o", "tz", "edition", *(f"keep_{i}" for i in range(len(keep))))
     number = {f: i for i, f in enumerate(FORMS)}
     passed = ["k", "source_id", "o", *(f"keep_{i}" for i in range(len(keep)))]
 
