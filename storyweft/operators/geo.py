@@ -112,3 +112,9 @@ def spread_pins(df: DataFrame, order: list[Column], lat: str = "lat", lon: str =
     angle, radius = F.pmod(F.col("__n") * 2.4, F.lit(6.283185307179586)), 0.05 + 0.012 * F.col("__n")
     first = F.col("__n") == 0
     return moved.withColumn("pin_lat", F.round(F.when(first, F.col(lat)).otherwise(F.col(lat) + radius * F.sin(angle)), 6)).withColumn("pin_lon", F.round(F.when(first, F.col(lon)).otherwise(F.col(lon) + radius * F.cos(angle)), 6)).drop("__n")
+
+
+def pin_style(df: DataFrame, precision: str = "precision") -> DataFrame:
+    """``df`` with ``radius`` and ``heat`` of its pins: the vaguer the place, the larger and fainter."""
+    p = F.col(precision)
+    return df.withColumn("radius", F.when(p.isin("landmark", "city"), 6).when(p == "region", 8).otherwise(10)).withColumn("heat", F.when(p == "country", 0.35).otherwise(1.0))

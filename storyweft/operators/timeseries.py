@@ -29,3 +29,8 @@ def peak(days: DataFrame) -> DataFrame:
 def brush(df: DataFrame, date: str, one: Column, other: Column) -> DataFrame:
     """Rows between two days, both included, in whichever order they are given."""
     return df.where(F.col(date).between(F.least(one, other), F.greatest(one, other)))
+
+
+def span(df: DataFrame, at: str) -> DataFrame:
+    """One row: the years that occur, first and last day, rows."""
+    return df.where(F.col(at).isNotNull()).agg(F.array_sort(F.collect_set(F.year(at))).alias("years"), F.min(F.to_date(at)).alias("first"), F.max(F.to_date(at)).alias("last"), F.count("*").alias("rows"))

@@ -566,3 +566,36 @@ def robots_verdicts(spark, sf_dir):
     body = F.when(F.length("origin") % 3 == 0, F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /rss/\nAllow: /rss/articles/C*\n")).otherwise(F.lit("User-agent: *\nDisallow: /*/was-$\nDisallow: /private # none\n"))
     rules_ = robots.parse_robots(links.select("origin").distinct().withColumn("body", body))
     return robots.allowed(links, rules_)
+
+
+# --- more SQL --------------------------------------------------------------------------------------------------
+
+_HALF = "SELECT id, arg_min(image, {by}) FILTER (image IS NOT NULL) AS image, arg_min(snippet, {by}) FILTER (snippet IS NOT NULL) AS snippet, arg_min(publisher_url, {by}) FILTER (publisher_url IS NOT NULL) AS pu, bool_and(url_opaque) AS op, list_sort(list_distinct(flatten(list(topics)))) AS t, list_sort(list_distinct(flatten(list(flags)))) AS f FROM item WHERE {when} GROUP BY id"
+SQL["upsert_outcomes"] = f"""WITH o AS ({_HALF.format(by=_BY, when="first_seen_at < TIMESTAMP '2026-06-01'")}), n AS ({_HALF.format(by=_BY, when="NOT first_seen_at < TIMESTAMP '2026-06-01'")})
+    SELECT CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'kept' WHEN (o.image IS NULL AND n.image IS NOT NULL) OR (o.snippet IS NULL AND n.snippet IS NOT NULL) OR (o.pu IS NULL AND n.pu IS NOT NULL) OR (o.op AND NOT n.op)
+    OR len(list_distinct(list_concat(o.t, n.t))) > len(o.t) OR len(list_distinct(list_concat(o.f, n.f))) > len(o.f) THEN 'updated' ELSE 'unchanged' END AS outcome, count(*) AS ids FROM o FULL JOIN n ON o.id = n.id GROUP BY 1"""
+SQL["item_ages"] = f"""WITH {_ITEMS}, a AS (SELECT id, published_at, CAST(floor((epoch_ms(TIMESTAMP '2026-10-01') - epoch_us(published_at) // 1000) / 60000.0) AS BIGINT) AS m FROM items)
+    SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 2160 THEN CAST(floor(m / 60.0 + 0.5) AS BIGINT) || 'h ago' WHEN m < 20160 THEN CAST(floor(m / 1440.0 + 0.5) AS BIGINT) || 'd ago' ELSE strftime(published_at, '%-d %b %Y') END AS ago,
+    strftime(published_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(published_at) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso FROM a"""
+SQL["reader_payloads"] = f"""WITH i AS (SELECT id, arg_min(publisher, {_BY}) AS publisher, coalesce(arg_min(url, {_BY}) FILTER (NOT url_opaque), arg_min(url, {_BY})) AS item_url FROM item GROUP BY id), a AS (SELECT id, arg_max({{'url': url, 'site': site_name, 'lang': lang, 'words': words, 'content': content}}, fetched_at) AS x FROM article GROUP BY id)
+    SELECT id, coalesce(item_url, x.url) AS url, coalesce(publisher, x.site) AS outlet, x.lang AS lang, greatest(1, CAST(round(x.words / 220.0) AS INT)) AS minutes, CAST(length(x.content) AS INT) AS size FROM a LEFT JOIN i USING (id)"""
+SQL["feed_rows"] = f"""SELECT title, 'https://site.example/story/' || id || '/' AS link, latest_published AS published, concat_ws(' ', snippet, CASE WHEN len(publishers) > 1 THEN 'Carried by ' || array_to_string(publishers[1:6], ', ') ELSE 'From ' || publishers[1] END) AS description
+    FROM story WHERE {_WINDOW} AND NOT {_HIDDEN} AND len(list_filter(topics, lambda t: t <> 'science')) > 0"""
+SQL["gazetteer"] = """WITH city AS (SELECT c_name AS name, CAST(n_nationkey AS VARCHAR) AS country, upper(r_name[1]) || lower(r_name[2:]) AS admin, CAST(greatest(round(c_acctbal * 10), 0) AS BIGINT) AS p, CAST(c_custkey % 90 AS DOUBLE) AS lat, CAST(c_custkey % 180 AS DOUBLE) AS lon FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    region_ AS (SELECT admin AS name, sum(lat * p) / sum(p) AS lat, sum(lon * p) / sum(p) AS lon, country FROM city GROUP BY country, admin HAVING sum(p) > 0),
+    u AS (SELECT 0 AS own, 0 AS k, -1 AS seq, 'GB' AS country, 51.0 AS lat, -2.0 AS lon, 'Stone Circle' AS name, 'landmark' AS kind UNION ALL SELECT 1, 1, -p, country, lat, lon, name, 'city' FROM city WHERE p >= 40000
+        UNION ALL SELECT 1, 2, 0, country, lat, lon, name, 'region' FROM region_ UNION ALL SELECT 1, 3, 0, CAST(n_nationkey AS VARCHAR), n_nationkey * 2.5 - 30, n_nationkey * 5.0 - 60, n_name, 'country' FROM nation)
+    SELECT key, kind, round(CAST(lat AS DOUBLE), 6) AS lat, round(CAST(lon AS DOUBLE), 6) AS lon FROM (SELECT lower(name) AS key, *, row_number() OVER (PARTITION BY lower(name) ORDER BY own, k, seq, country, lat) AS rn FROM u) WHERE rn = 1"""
+SQL["registry_problems"] = """WITH p AS (SELECT id, 'unknown edition' AS problem FROM feed_source WHERE edition IS NOT NULL AND edition NOT IN ('US', 'GB', 'AU', 'CA', 'IE', 'NZ', 'IN', 'ZA') UNION ALL SELECT id, 'query is over 190 characters' FROM feed_source WHERE length(query) > 190
+    UNION ALL SELECT id, 'id isn''t kebab-case' FROM feed_source WHERE NOT regexp_full_match(id, '[a-z0-9]+(-[a-z0-9]+)*') UNION ALL SELECT id, 'id isn''t unique' FROM feed_source GROUP BY id HAVING count(*) > 1) SELECT id, problem FROM p"""
+_SPACE = r"[\s\p{Z}\x{FEFF}]+"
+SQL["article_text"] = rf"""WITH p AS (SELECT id, fetched_at, words AS w, trim(regexp_replace(regexp_replace(regexp_replace(content, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '{_SPACE}', ' ', 'g')) AS t FROM article)
+    SELECT id, fetched_at, CAST(length(t) AS INT) AS size, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS INT) AS words, md5(t) AS digest, greatest(1, CAST(round(w / 220.0) AS INT)) AS minutes FROM p"""
+SQL["repetitive_articles"] = r"""WITH p AS (SELECT id, fetched_at, list_filter(list_transform(regexp_extract_all(content, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda x: length(x) > 20) AS l FROM article)
+    SELECT id, fetched_at, CAST(len(l) AS INT) AS paragraphs, len(l) >= 6 AND len(list_distinct(l)) < 0.6 * len(l) AS repetitive FROM p"""
+SQL["health_states"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, ts, event_id, event_type = 'error' AS bad, 'HTTP 500 #' || event_id AS error, row_number() OVER (PARTITION BY user_id ORDER BY ts, CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'view' THEN 'not_modified' ELSE 'success' END) AS n FROM events),
+    g AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY n) AS k FROM e), s AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY n) - CASE WHEN k > 0 THEN 1 ELSE 0 END AS fails FROM g),
+    l AS (SELECT id, arg_max(fails, n) AS fails, max(k) AS k, max(ts) AS checked, arg_max(error, n) AS error, max(ts) FILTER (NOT bad) AS ok FROM s GROUP BY id)
+    SELECT l.id, CASE WHEN l.fails = 0 THEN 'ok' WHEN l.fails >= 3 THEN 'quarantined' ELSE 'failing' END AS status, CAST(l.fails AS INT) AS consecutive_failures, ok AS last_ok_at, checked AS last_checked_at, q.ts AS quarantined_at, CASE WHEN l.fails > 0 THEN l.error END AS last_error
+    FROM l LEFT JOIN s q ON q.id = l.id AND q.k = l.k AND q.fails = 3 AND q.bad"""
+SQL["json_rows"] = r"""SELECT '{' || array_to_string(list_filter(['"id":' || to_json(id), '"title":' || to_json(title), '"publishers":' || to_json(publishers), '"first_published":"' || strftime(first_published, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(first_published) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z"', '"snippet":' || to_json(snippet)], lambda x: x IS NOT NULL), ',') || '}' AS json FROM story"""

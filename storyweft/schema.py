@@ -12,6 +12,8 @@ FLAGS = ["entertainment", "attraction", "gathering", "weak-match", "offbeat", "r
 HIDDEN_FLAGS = ["entertainment", "offbeat", "weak-match", "gathering"]
 EDITIONS = ["US", "GB", "AU", "CA", "IE", "NZ", "IN", "ZA"]
 PLACE_KINDS = ["landmark", "city", "region", "country"]
+TOPIC_LABELS = {t: t.capitalize() for t in TOPICS} | {"ufo": "UFOs", "ooparts": "Out-of-place artefacts"}
+TIER_LABELS = {t: t.capitalize() for t in TIERS}
 # Weight of a write-up by its best tier, what each flag takes of a score, hours added to an age.
 TIER_WEIGHT = {"official": 6.0, "press": 4.0, "genre": 2.0, "unverified": 0.5}
 FLAG_PENALTY = {"entertainment": 0.25, "attraction": 0.5, "gathering": 0.3, "weak-match": 0.4, "offbeat": 0.25, "roundup": 0.3, "notice": 0.3}
@@ -33,6 +35,11 @@ def ordinal(value: Column, order: list[str]) -> Column:
     return F.when(value.isNull() | (place == 0), len(order)).otherwise(place - 1).cast("int")
 
 
+def label(value: Column, of: dict[str, str]) -> Column:
+    """What an enumerated value is called; itself if it has no name."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in of.items() for x in kv)), value), value)
+
+
 def member(value: Column, order: list[str]) -> Column:
     """Whether a value is of an enumeration."""
     return F.coalesce(value.isin(*order), F.lit(False))

@@ -117,3 +117,8 @@ def thumbnail_size(width: Column, height: Column, most: int = 800, least_w: int
     """Width and height of an image fitted into a square; null for one that is too small."""
     scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
     return F.when((width >= least_w) & (height >= least_h), F.struct(F.round(width * scale).cast("int").alias("width"), F.round(height * scale).cast("int").alias("height")))
+
+
+def sitemap(pages: DataFrame, path: str = "path") -> DataFrame:
+    """Pages that a sitemap lists: all but readers' copies."""
+    return pages.where(~F.col(path).contains("/reader/"))

@@ -96,3 +96,11 @@ def live_health(polls: DataFrame, after: int = QUARANTINE_AFTER, allowed: int =
 def read_item_stream(spark: SparkSession, path: str) -> DataFrame:
     """Items as they are dropped into a folder of JSON lines."""
     return spark.readStream.schema(ITEM).json(path)
+
+
+def guard(polls: DataFrame) -> DataFrame:
+    """``polls`` (``status, error``), or an error if every one of them failed: nothing is written then."""
+    total = polls.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
+    if total["n"] and total["n"] == total["bad"]:
+        raise RuntimeError("every source failed; nothing is written")
+    return polls

@@ -290,3 +290,38 @@ def test_thumbnails(spark):
 
 def test_reading_minutes(spark):
     assert [r[0] for r in spark.createDataFrame([(0,), (660,)], "w int").select(t.reading_minutes(F.col("w"))).collect()] == [1, 3]
+
+
+def page_fake(url, limit):
+    if "down" in url:
+        raise OSError("no route")
+    if "big" in url:
+        return 200, url, "text/html", b"x" * (limit + 1)
+    return (200, url + "final", "text/html; charset=utf-8", b"<p>x</p>") if "ok" in url else (200, url, "image/svg+xml", b"<svg/>") if "svg" in url else (404, url, "", b"")
+
+
+def test_pages_over_the_network(spark):
+    from storyweft.sources.pages import PageSource
+
+    spark.dataSource.register(PageSource)
+    targets = [{"id": k, "url": f"https://{k}.example/"} for k in ("ok", "big", "svg", "down", "none")]
+    df = spark.read.format("storyweft_page").option("targets", json.dumps(targets)).option("transport", f"{__name__}:page_fake").option("limit", "100").option("pause", "0").load()
+    got = {r["id"]: r for r in df.collect()}
+    assert bytes(got["ok"].body) == b"<p>x</p>" and got["ok"].url.endswith("final")
+    assert {k: r.error for k, r in got.items() if k != "ok"} == {"big": "too large", "svg": "wrong type", "down": "no route", "none": "HTTP 404"}
+
+
+def test_small_views(spark):
+    from storyweft.schema import TOPIC_LABELS, label
+    from storyweft.streaming.ingest import guard
+
+    df = spark.createDataFrame([("city",), ("region",), ("country",)], "precision string")
+    assert [tuple(r)[1:] for r in geo.pin_style(df).collect()] == [(6, 1.0), (8, 1.0), (10, 0.35)]
+    assert files.sitemap(spark.createDataFrame([("/a/",), ("/reader/x.json",)], "path string")).count() == 1
+    assert [r[0] for r in spark.createDataFrame([("ufo",), ("odd",)], "t string").select(label(F.col("t"), TOPIC_LABELS)).collect()] == ["UFOs", "odd"]
+    years = timeseries.span(spark.createDataFrame([(T0,), (datetime(2024, 5, 1),), (None,)], "at timestamp"), "at").first()
+    assert years["years"] == [2024, 2026] and years["rows"] == 2
+    ok = spark.createDataFrame([("x",), (None,)], "error string")
+    assert guard(ok).count() == 2
+    with pytest.raises(RuntimeError):
+        guard(ok.where("error is not null"))
