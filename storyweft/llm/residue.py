@@ -4,19 +4,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyweft.llm.pages import OUTSIDE, TAG, classified, visible_lines
+from storyweft.llm.pages import OUTSIDE, classified, visible_lines, vocabulary
 
 WHOLE, LIKELY = 0.4, 0.1  # share of a line's class on pages without a paragraph: of an error template; of what may be one
 CONTENT = 0.12  # and the share under which a line is ordinary content
-USUAL = 0.02  # share of all records from which a word is usual, so that a record's words times 1/0.02 bounds their number
 FILLER_WORDS, FILLER_SHARE, FILLER_DISTINCT = 12, 0.2, 0.35  # words of a line that is filler if less than that share of them is usual, or, of a stretch, distinct
 STRETCH = 48
 
@@ -39,17 +36,6 @@ def holds_slot(text: str | None) -> bool:
     return bool(SLOT.search(html.unescape(KEPT.sub(" ", text)))) or bool(SLOT.search(text) if "<%" in text else False)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total.update(set(TAG.sub(" ", text).casefold().split()))
-            if len(total) > 300_000:  # sums are added up in the shuffle anyway
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-                total.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-
-
 def _few_words(w: list[str]) -> bool:
     """Whether most stretches of STRETCH words, so that length alone doesn't tell, have few distinct ones."""
     parts = [w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
@@ -58,7 +44,7 @@ def _few_words(w: list[str]) -> bool:
     return 2 * sum(len(set(p)) < FILLER_DISTINCT * len(p) for p in parts) > len(parts)
 
 
-def residue(articles: DataFrame, key: str = "id", title: str = "title", content: str = "content", site: str = "site_name", lines: DataFrame | None = None) -> DataFrame:
+def residue(articles: DataFrame, key: str = "id", title: str = "title", content: str = "content", site: str = "site_name", lines: DataFrame | None = None, words: dict[str, bool] | None = None) -> DataFrame:
     """Columns ``key, slot, filler, whole_page``: records whose title or content isn't a real report, and why.
 
     ``slot``: title or content holds a slot with its variable name or default, or is nothing but stray program values. ``filler``:
@@ -71,15 +57,11 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
     one. Null keys are left out, other columns are not read, an empty table gives an empty result.
     """
     source = articles.select(F.col(key).alias("k"), F.col(title).alias("title"), F.col(content).alias("content")).where("k is not null")
-    total = source.select("content").where("content is not null")
-    n = total.count()
-    counts = total.mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    # bounded: at most the words of a record times 1 / USUAL
-    usual = frozenset(r["word"] for r in counts.where(F.col("n") >= max(2, USUAL * n)).select("word").collect())
-    shared = articles.sparkSession.sparkContext.broadcast(usual)
+    words = vocabulary(articles, content) if words is None else words
+    shared = articles.sparkSession.sparkContext.broadcast(frozenset(w for w, usual in words.items() if usual))
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = shared.value
+        usual = shared.value
         for pdf in batches:
             slot, filler = [], []
             for t, c in zip(pdf["title"], pdf["content"]):
@@ -90,14 +72,14 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
                 for v in shown:
                     if v.count(" ") + 1 >= FILLER_WORDS:
                         w = v.casefold().split(" ")
-                        odd = odd or _few_words(w) or sum(map(words.__contains__, w)) < FILLER_SHARE * len(w)
+                        odd = odd or _few_words(w) or sum(map(usual.__contains__, w)) < FILLER_SHARE * len(w)
                 filler.append(odd)
             out = pdf[["k"]].assign(slot=slot, filler=filler)
             yield out[out["slot"] | out["filler"]]
 
     kind = source.schema["k"].dataType.simpleString()
     first = source.mapInPandas(own, f"k {kind}, slot boolean, filler boolean").groupBy("k").agg(F.max("slot").alias("slot"), F.max("filler").alias("filler"))
-    judged = lines if lines is not None else classified(articles, key=key, site=site, content=content)
+    judged = lines if lines is not None else classified(articles, key=key, site=site, content=content, words=words)
     bare = judged.where("bare and no >= 0").groupBy("k").agg(
         F.max("whole").alias("most"), F.sum(((F.col("template") < OUTSIDE) & (F.col("whole") < CONTENT)).cast("int")).alias("ordinary")
     )
