@@ -439,6 +439,11 @@ def headline_places(spark, sf_dir):
 # --- sources, health, retries ----------------------------------------------------------------------------------
 
 
+def _as_read(df):
+    """Times without a zone again, as the events table has them."""
+    return df.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes))
+
+
 def _polls(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "not_modified").otherwise("success")
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), "ts", kind.alias("kind"), F.when(kind == "failure", 500).otherwise(200).alias("status"), F.col("value").cast("int").alias("item_count"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(kind == "failure", F.concat(F.lit("HTTP 500 #"), F.col("event_id"))).alias("error"))
@@ -446,7 +451,7 @@ def _polls(spark, sf_dir):
 
 @query
 def health_states(spark, sf_dir):
-    return health.fold_health(_polls(spark, sf_dir)).select("id", "status", "consecutive_failures", "last_ok_at", "last_checked_at", "quarantined_at", "last_error")
+    return _as_read(health.fold_health(_polls(spark, sf_dir)).select("id", "status", "consecutive_failures", "last_ok_at", "last_checked_at", "quarantined_at", "last_error"))
 
 
 @query
@@ -460,7 +465,7 @@ SQL["failure_streaks"] = "WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error
 @query
 def retry_states(spark, sf_dir):
     tries = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("error"), (F.col("value") > 190).alias("final"))
-    return health.fold_attempts(tries)
+    return _as_read(health.fold_attempts(tries))
 
 
 SQL["retry_states"] = "WITH g AS (SELECT CAST(user_id AS VARCHAR) AS id, CAST(count(*) AS INT) AS attempts, max(ts) AS last_attempt_at, arg_max(CAST(event_id AS VARCHAR), (ts, CAST(event_id AS VARCHAR))) AS error, bool_or(value > 190) OR count(*) >= 3 AS final FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT id, attempts, last_attempt_at, CASE WHEN NOT final THEN last_attempt_at + CASE WHEN attempts = 1 THEN INTERVAL 2 HOUR ELSE INTERVAL 8 HOUR END END AS next_attempt_at, error, final FROM g"
