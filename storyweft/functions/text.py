@@ -26,6 +26,11 @@ STOPWORDS = (
     "new report reports reported reportedly claims claim claimed video watch photo photos pictures see "
     "amid after latest news update updates breaking exclusive revealed reveals reveal inside"
 ).split()
+# Second-level and top domains that a name loses, query parameters that only track, what listings add to a text.
+SECOND_LEVEL = r"\.(?:co|com|org|net|ac|gov)\.[a-z]{2}\z"
+TOP_DOMAIN = r"\.[a-z]{2,6}\z"
+TRACKING = r"(?i)^(utm_[^=]*|fbclid|gclid|mc_cid|mc_eid)(=|\z)"
+ADDED = r"(?i)submitted by\s+/u/\S+.*\z|\[link\]|\[comments\]"
 ELLIPSIS = "…"
 SPACES = r"(?U)[\s\x{FEFF}]+"
 
@@ -180,7 +185,7 @@ def publisher_key(name: Column) -> Column:
     """Identity of a publisher: folded, of a host name without scheme, www and top domain, letters and digits only."""
     c = F.trim(plain_letters(F.lower(name)))
     c = F.regexp_replace(F.regexp_replace(c, "^https?://", ""), r"^www\.", "")
-    bare = F.regexp_replace(F.regexp_replace(c, r"\.(?:co|com|org|net|ac|gov)\.[a-z]{2}\z", ""), r"\.[a-z]{2,6}\z", "")
+    bare = F.regexp_replace(F.regexp_replace(c, SECOND_LEVEL, ""), TOP_DOMAIN, "")
     c = F.when(c.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+\z"), bare).otherwise(c)
     return F.regexp_replace(F.regexp_replace(c, r"^the\s+", ""), "[^a-z0-9]+", "")
 
@@ -242,7 +247,7 @@ def slugify(c: Column) -> Column:
 def clean_url(url: Column) -> Column:
     """A web address without tracking parameters and fragment."""
     bare = F.split_part(url, F.lit("#"), F.lit(1))
-    query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)\z", 1), "&"), lambda p: (p != "") & ~p.rlike(r"(?i)^(utm_[^=]*|fbclid|gclid|mc_cid|mc_eid)(=|\z)"))
+    query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)\z", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
     base = F.split_part(bare, F.lit("?"), F.lit(1))
     return F.when(F.size(query) > 0, F.concat(base, F.lit("?"), F.array_join(query, "&"))).otherwise(base)
 
@@ -310,7 +315,7 @@ def path_of(*parts: str | Column, base: str = "") -> Column:
 def make_snippet(content: Column, summary: Column, title: Column, publisher: Column, search: Column, most: int = 300) -> Column:
     """Opening of an entry's text: null for search feeds, for a text that only echoes the headline, and under 40 characters."""
     raw = F.coalesce(F.nullif(content, F.lit("")), F.nullif(summary, F.lit("")))
-    text = collapse(F.regexp_replace(decode_entities(strip_tags(raw)), r"(?i)submitted by\s+/u/\S+.*\z|\[link\]|\[comments\]", " "))
+    text = collapse(F.regexp_replace(decode_entities(strip_tags(raw)), ADDED, " "))
     text_key, title_key = normalize_title(text), normalize_title(title)
     both = normalize_title(F.concat_ws(" ", title, publisher))
     words = F.split(text, " ")

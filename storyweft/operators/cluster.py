@@ -13,7 +13,10 @@ from storyweft.operators.similarity import similar_pairs
 from storyweft.schema import AGE_OFFSET_HOURS, FLAG_PENALTY, TIER_WEIGHT, TIERS, TOPICS, ordinal, weight
 from storyweft.session import cut
 
+# The span cap; headlines that are broadcast slugs, and those with a label at the end.
 SPAN_HOURS = 7 * 24
+SLUG = r"(?i)^(?:raw|watch|video|photos?|live|update|breaking)\s*:"
+LABELLED = r"(?i)\s[-–—]\s(?:video|watch|photos?|listen|podcast|opinion|analysis)\z"
 
 
 def guarded_components(items: DataFrame, pairs: DataFrame, span_hours: int = SPAN_HOURS) -> DataFrame:
@@ -85,7 +88,7 @@ def write_ups(members: DataFrame) -> DataFrame:
 
 def ugly(title: Column) -> Column:
     """Whether a headline is a broadcast slug or has no lower-case letter."""
-    return title.rlike(r"(?i)^(?:raw|watch|video|photos?|live|update|breaking)\s*:") | ~title.rlike("[a-z]")
+    return title.rlike(SLUG) | ~title.rlike("[a-z]")
 
 
 def member_order(prefix: str = "") -> list[Column]:
@@ -126,7 +129,7 @@ def roll_up(items: DataFrame, story: DataFrame, now: Column) -> DataFrame:
     tok = spoken.select("story", "id", "groups", F.size("toks").alias("n"), F.explode("toks").alias("token"))
     df = tok.groupBy("story", "token").agg(F.count("*").alias("df"))
     agreement = tok.join(df, ["story", "token"]).groupBy("story", "id").agg(F.sum((F.col("df") - 1) / (F.col("groups") - 1) / F.col("n")).alias("agreement"))
-    tagged = F.col("title").rlike(r"(?i)\s[-–—]\s(?:video|watch|photos?|listen|podcast|opinion|analysis)\z")
+    tagged = F.col("title").rlike(LABELLED)
     speaks = ~ugly(F.col("title")) & ~tagged & ~F.arrays_overlap("flags", F.lit(["roundup", "notice"]))
     usable = (F.col("tier_at") == F.col("top")) & ~F.col("url_opaque") & (F.size("toks") >= 4) & speaks
     pick = spoken.join(agreement, ["story", "id"], "left").select("story", "id", "rank", F.coalesce(usable, F.lit(False)).alias("usable"), F.round(F.coalesce("agreement", F.lit(0.0)), 9).alias("agreement"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Failures to quarantine, hours to the next probe, empty polls that count as a failure; tries, and hours after the first and second.
 QUARANTINE_AFTER, REPROBE_HOURS, EMPTY_ALLOWED = 3, 24, 48
 MAX_ATTEMPTS, BACKOFF_HOURS = 3, (2, 8)
 
