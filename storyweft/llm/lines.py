@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from storyweft.session import cut
 
 FDR = 0.05
 SALTS = 16
@@ -59,23 +59,32 @@ def repeated_lines(articles: DataFrame, key: str = "id", site: str = "site_name"
     sites = source.groupBy("site").agg(F.countDistinct(F.xxhash64("k")).alias("n1"))
     # the pair is unique after the inner aggregation, which spreads a large site by article as well
     inside = row.groupBy("site", "line_hash", "kh").agg(F.lit(1).alias("one")).groupBy("site", "line_hash").agg(F.count("*").alias("k1"))
-    total = sites.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n"))
-    counted = inside.join(sites, "site").crossJoin(F.broadcast(total))  # one row
+    n = F.lit(sites.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n")).first()["n"])
+    counted = cut(inside.join(sites, "site"))
     excess = (F.col("k1") >= least) & (F.col("k1") >= share * F.col("n1"))
     # sites that repeat the line too say nothing about how often it occurs by chance
     outside = counted.groupBy("line_hash").agg(F.sum((F.col("k1") == 1).cast("int")).alias("k2"), F.sum(F.when(F.col("k1") > 1, F.col("n1")).otherwise(0)).alias("repeating"))
     tested = counted.where("k1 > 1")  # a line held once can't be in significant excess
-    n2 = F.col("n") - F.col("repeating")
+    n2 = n - F.col("repeating")
     scored = tested.join(outside, "line_hash").select(
         "site", "line_hash", F.col("k1").alias("articles"), F.col("n1").alias("site_articles"), F.col("k2").alias("outside"), excess.alias("excess"),
-        _ratio(F.col("k1").cast("double"), F.col("n1").cast("double"), F.col("k2") + F.lit(0.5), (n2 + F.col("n")).cast("double")).alias("ratio"),
+        _ratio(F.col("k1").cast("double"), F.col("n1").cast("double"), F.col("k2") + F.lit(0.5), (n2 + n).cast("double")).alias("ratio"),
     )
-    bins = scored.groupBy(F.floor(F.least("ratio", F.lit(TOP)) * BINS_PER_UNIT).alias("bin")).agg(F.count("*").alias("n"))
-    singles = counted.where("k1 = 1").agg(F.count("*").alias("untested"))
-    tail = F.udf(lambda b: upper_tail(b / BINS_PER_UNIT), T.DoubleType())  # over the bounded table only
-    above = bins.withColumn("up", F.sum("n").over(Window.orderBy(F.desc("bin")))).crossJoin(F.broadcast(bins.agg(F.sum("n").alias("m")))).crossJoin(F.broadcast(singles))
-    bound = above.where(tail("bin") <= fdr * F.col("up") / (F.col("m") + F.col("untested"))).agg(F.min("bin").alias("from_bin"))
-    return scored.where("excess").crossJoin(F.broadcast(bound)).where(F.floor(F.least("ratio", F.lit(TOP)) * BINS_PER_UNIT) >= F.col("from_bin")).drop("excess", "from_bin")
+    scored = cut(scored)
+    at = F.floor(F.least("ratio", F.lit(TOP)) * BINS_PER_UNIT)
+    bins = {r["bin"]: r["lines"] for r in scored.groupBy(at.alias("bin")).agg(F.count("*").alias("lines")).collect()}  # a table of bounded size
+    untested = counted.where("k1 = 1").count()
+    return scored.where("excess").where(at >= _bound(bins, untested, fdr)).drop("excess")
+
+
+def _bound(bins: dict[int, int], untested: int, fdr: float) -> int:
+    """The least bin whose p-value is within Benjamini-Hochberg's bound at its rank, over all lines; beyond all bins if there is none."""
+    total, rank, least = sum(bins.values()) + untested, 0, int(TOP * BINS_PER_UNIT) + 1
+    for b in sorted(bins, reverse=True):
+        rank += bins[b]
+        if upper_tail(b / BINS_PER_UNIT) <= fdr * rank / total:
+            least = b
+    return least
 
 
 def found_lines(articles: DataFrame, least: int = 5, share: float = 0.1, **columns: str) -> DataFrame:
