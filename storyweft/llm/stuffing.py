@@ -65,8 +65,8 @@ def prose_words(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     # a tenth of eleven pages is more than one; read several times, so cut
     summed = cut(summed.where("held > 1 or word = ''"))
     whole = summed.where("word = ''").select("tag", F.col("held").alias("pages"), F.col("times").alias("tokens"))
-    total = whole.agg(F.sum("pages").alias("all"))
-    known = whole.join(total, (F.col("pages") >= TAG_PAGES) & (F.col("pages") >= TAG_SHARE * F.col("all"))).drop("all")
+    total = whole.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("all")).first()["all"]
+    known = whole.where((F.col("pages") >= TAG_PAGES) & (F.col("pages") >= TAG_SHARE * total))
     common = summed.where("word != ''").join(known, "tag").where(F.col("held") >= PROSE_SHARE * F.col("pages")).select("tag", "word", (F.col("times") / F.col("tokens")).alias("q"))
     out: dict[str, dict[str, float]] = {}
     for r in common.collect():  # bounded, see PROSE_SHARE and TAG_SHARE
