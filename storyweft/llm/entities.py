@@ -222,7 +222,7 @@ def spellings(names: DataFrame, name: str = "name") -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "kind", "id", "bag"])
 
     keys = cut(records.mapInPandas(keyed, "key string, kind int, id bigint, bag array<string>").withColumn("key", F.xxhash64("key")))
-    one_slip = F.udf(lambda a, b: _one_slip(a, b), "boolean")
+    one_slip = F.udf(lambda a, b: _one_slip(list(a), list(b)), "boolean", useArrow=True)
     same = keys.where("kind = 0")
     left, right = same.select("key", F.col("id").alias("a"), F.col("bag").alias("ba")), same.select("key", F.col("id").alias("b"), F.col("bag").alias("bb"))
     # a key holds all words but a letter, so the records of one key are spellings of the same words
@@ -232,7 +232,7 @@ def spellings(names: DataFrame, name: str = "name") -> DataFrame:
     edges = cut(pairs.where(one_slip("ba", "bb")).select("a", "b").unionByName(glued.join(first, "key").where("id != a").select("a", F.col("id").alias("b"))))
     initial, full = keys.where("kind = 2").select("key", F.col("id").alias("a"), F.col("bag").alias("ba")), keys.where("kind = 1").select("key", F.col("id").alias("b"), F.col("bag").alias("bb"))
 
-    fits = F.udf(lambda a, b: _fits(a, b), "boolean")
+    fits = F.udf(lambda a, b: _fits(list(a), list(b)), "boolean", useArrow=True)
     open_ = cut(initial.join(full, "key").select("a", "b", "ba", "bb").distinct().where(fits("ba", "bb")).select("a", "b"))
     label = records.select(F.col("id").alias("node"), F.col("id").alias("component"))
     settled = label

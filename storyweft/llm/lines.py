@@ -97,14 +97,14 @@ def found_lines(articles: DataFrame, least: int = 5, share: float = 0.1, **colum
 
 
 def without_repeated_lines(articles: DataFrame, key: str = "id", site: str = "site_name", content: str = "content") -> DataFrame:
-    """Columns ``key, content``: each article (latest copy by content hash) freed of its site's repeated lines.
+    """Columns ``key, content``: each article (of copies that differ the greatest content) freed of its site's repeated lines.
 
     Lines are anti-joined with the significant ones and put together again by position. An article of which nothing
     is left, or without content, has an empty content; articles without a site keep all lines.
     """
     hits = repeated_lines(articles, key, site, content).select(F.col("site").alias("s"), F.col("line_hash").alias("h"))
     one = articles.select(F.col(key).alias("k"), F.col(site).alias("s"), F.col(content).alias("c")).where("k is not null")
-    one = one.groupBy("k").agg(F.max_by(F.struct("s", "c"), F.xxhash64("c")).alias("x"), F.max(F.struct("s", "c")).alias("y")).select("k", F.coalesce("x", "y").alias("x")).select("k", "x.s", "x.c")
+    one = one.groupBy("k").agg(F.max(F.struct("c", "s")).alias("x")).select("k", "x.c", "x.s")
     lines = one.select("k", "s", F.posexplode(F.split("c", "\n")).alias("pos", "line")).withColumn("h", F.xxhash64(compared(F.col("line"))))
     spread = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kept = lines.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(spread, ["s", "h", "salt"], "left_anti")
