@@ -604,3 +604,10 @@ SQL["health_states"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, ts,
     SELECT l.id, CASE WHEN l.fails = 0 THEN 'ok' WHEN l.fails >= 3 THEN 'quarantined' ELSE 'failing' END AS status, CAST(l.fails AS INT) AS consecutive_failures, ok AS last_ok_at, checked AS last_checked_at, q.ts AS quarantined_at, CASE WHEN l.fails > 0 THEN l.error END AS last_error
     FROM l LEFT JOIN s q ON q.id = l.id AND q.k = l.k AND q.fails = 3 AND q.bad"""
 SQL["json_rows"] = r"""SELECT '{' || array_to_string(list_filter(['"id":' || to_json(id), '"title":' || to_json(title), '"publishers":' || to_json(publishers), '"first_published":"' || strftime(first_published, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(first_published) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z"', '"snippet":' || to_json(snippet)], lambda x: x IS NOT NULL), ',') || '}' AS json FROM story"""
+_ENCODED = "replace(replace(replace(replace(replace(url_encode(query || ' when:7d'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"
+SQL["source_urls"] = f"""SELECT id, CASE kind WHEN 'google-news' THEN 'https://news.google.com/rss/search?q=' || {_ENCODED} || '&hl=en-' || coalesce(edition, 'US') || '&gl=' || coalesce(edition, 'US') || '&ceid=' || coalesce(edition, 'US') || ':en'
+    WHEN 'reddit' THEN 'https://oauth.reddit.com/r/' || array_to_string(subreddits, '+') || '/new?limit=50&raw_json=1' ELSE url END AS poll_url FROM feed_source WHERE enabled"""
+SQL["job_queue"] = f"""WITH i AS (SELECT id, coalesce(arg_min(url, {_BY}) FILTER (NOT url_opaque), arg_min(url, {_BY})) AS url, bool_and(url_opaque) AS op FROM item GROUP BY id),
+    c AS (SELECT id AS story, latest_published, unnest(items) AS id, generate_subscripts(items, 1) AS pos FROM story WHERE {_WINDOW} AND NOT {_HIDDEN}), d AS (SELECT story FROM c WHERE id IN (SELECT id FROM article)),
+    k AS (SELECT c.*, url FROM c JOIN i USING (id) WHERE story NOT IN (SELECT story FROM d) AND NOT op AND regexp_matches(url, '(?i)^https?://') AND NOT regexp_matches(url, '(?i)/(?:gallery|galleries|video|videos)/')),
+    f AS (SELECT story, max(latest_published) AS latest_published, arg_min(id, pos) AS id, arg_min(url, pos) AS url FROM k GROUP BY story) SELECT story, id, url, latest_published FROM f ORDER BY latest_published DESC, story LIMIT 40"""
