@@ -90,6 +90,15 @@ SQL = {
     SELECT site_name, line FROM l JOIN n USING (site_name) WHERE line <> '' GROUP BY site_name, line, n
     HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.1 * n
     """,
+    "p3_clean": r"""
+    WITH a AS (SELECT id, any_value(site_name) AS site_name, any_value(content) AS content FROM article WHERE id IS NOT NULL GROUP BY id),
+    l AS (SELECT id, site_name, pos, line, regexp_replace(lower(trim(regexp_replace(regexp_replace(line, '<[^>]*>', ' ', 'g'), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g'))), '[0-9]+', '#', 'g') AS form
+          FROM (SELECT id, site_name, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM a WHERE content IS NOT NULL)),
+    n AS (SELECT site_name, count(DISTINCT id) AS n FROM a WHERE site_name IS NOT NULL AND content IS NOT NULL GROUP BY site_name),
+    hit AS (SELECT site_name, form FROM l JOIN n USING (site_name) WHERE form <> '' GROUP BY site_name, form, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.1 * n),
+    kept AS (SELECT id, string_agg(line, chr(10) ORDER BY pos) AS body FROM l WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.site_name = l.site_name AND hit.form = l.form) GROUP BY id)
+    SELECT id, coalesce(body, '') AS content FROM a LEFT JOIN kept USING (id)
+    """,
     "p4_found": _TERMS + "SELECT id, term FROM post JOIN stats USING (term) WHERE df BETWEEN 2 AND 40",
     "p4_scores": _TERMS
     + """, s AS (SELECT id, term, CAST(tf AS BIGINT) AS tf, df, f / n AS lam, tf * log2(1 + al / l) AS tfn FROM post JOIN stats USING (term), totals)
