@@ -17,7 +17,7 @@ CONTENT = 0.12  # and the share under which a line is ordinary content
 FILLER_WORDS, FILLER_SHARE, FILLER_DISTINCT = 12, 0.2, 0.35  # words of a line that is filler if less than that share of them is usual, or, of a stretch, distinct
 STRETCH = 48
 
-# How template languages and editors write a slot that is still to be filled.
+# Fixed values, besides the slots that are induced: how template languages and editors write a slot that is still to be filled.
 SLOTS = [
     r"\{\{[^{}\n]{0,80}\}\}", r"\$\{[\w.:| -]{1,60}\}", r"#\{[\w.]{1,60}\}", r"<%[=-]?[^%\n]{0,80}%>", r"\{%[^%\n]{0,80}%\}", r"%%\w{1,60}%%", r"@@\w{1,60}@@",
     r"(?<!\w)__[A-Za-z]\w{0,60}?__(?!\w)", r"\bXX_\w{1,60}?_XX\b", r"\[\[[\w .]{0,60}\]\]", r"\[(?:INSERT|Insert|insert) [^\]\n]{1,60}\]", r"\[[\w ]{1,60} goes here\]",
@@ -47,7 +47,8 @@ def _few_words(w: list[str]) -> bool:
 def residue(articles: DataFrame, key: str = "id", title: str = "title", content: str = "content", site: str = "site_name", lines: DataFrame | None = None, words: dict[str, bool] | None = None) -> DataFrame:
     """Columns ``key, slot, filler, whole_page``: records whose title or content isn't a real report, and why.
 
-    ``slot``: title or content holds a slot with its variable name or default, or is nothing but stray program values. ``filler``:
+    ``slot``: a line or title has a variable, a blank or a default where its aligned siblings have values (``pages.unfilled``), or
+    title or content holds a slot as template languages write it (SLOTS), or is nothing but stray program values. ``filler``:
     a long line of words that other records don't use, or of few words over and over. ``whole_page``: records are aligned line by line (``classified``);
     a line class found on records without any paragraph for the most part is an error template, and a record of such
     lines with no paragraph is an error page. A report that mentions such words, or whose furniture asks for scripts, has
@@ -79,10 +80,12 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
 
     kind = source.schema["k"].dataType.simpleString()
     first = source.mapInPandas(own, f"k {kind}, slot boolean, filler boolean").groupBy("k").agg(F.max("slot").alias("slot"), F.max("filler").alias("filler"))
-    judged = lines if lines is not None else classified(articles, key=key, site=site, content=content, words=words)
+    judged = lines if lines is not None else classified(articles, key=key, site=site, content=content, words=words, title=title)
     bare = judged.where("bare and no >= 0").groupBy("k").agg(
         F.max("whole").alias("most"), F.sum(((F.col("template") < OUTSIDE) & (F.col("whole") < CONTENT)).cast("int")).alias("ordinary")
     )
     pages = bare.where((F.col("most") >= WHOLE) | ((F.col("ordinary") == 0) & (F.col("most") >= LIKELY))).select("k", F.lit(True).alias("whole_page"))
+    left = judged.where("open").select("k", F.lit(True).alias("left"))
     false = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    first = first.join(left, "k", "full_outer").withColumn("slot", F.coalesce(F.col("slot"), F.lit(False)) | F.coalesce(F.col("left"), F.lit(False)))
     return first.join(pages, "k", "full_outer").select(F.col("k").alias(key), false("slot"), false("filler"), false("whole_page"))

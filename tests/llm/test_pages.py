@@ -82,3 +82,19 @@ def test_masks():
     assert m("Reader bob12 wrote: 5 of x.example", None) == ["reader", "U", "wrote:", "#", "of", "H"]
     assert m("TERMS | PRIVACY", None) == ["terms", "|", "privacy"]
     assert pages.visible_lines("<p>a</p>\n\n <br/> \nb  c") == [(0, "<p>a</p>", "a"), (3, "b  c", "b c")]
+
+
+def test_slots_are_induced(spark):
+    """A position that siblings fill with different values is a slot; a variable in any syntax, a blank or a default there isn't filled."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        town = f"L{rng.choice('aeiou')}{rng.choice('bcdfg')}ford"
+        rows.append((f"r{i}", "Tarn Daily", f"Title {'abcdefgh'[i % 8]} words", f"<p>By Ann {town}, staff</p>\n<p>{prose(rng)}</p>\n<p>{prose(rng)}</p>"))
+    values = ["[NAME]", "$name$", "<<name>>", "%name%", "____", "", "undefined", "AUTHOR_NAME", "[YOUR NAME]", "&lt;name&gt;", "@name@", "{name}"]
+    rows += [(f"u{i}", "Tarn Daily", "Fine", rows[i][3].replace(rows[i][3].split(", staff")[0].split("By ")[1], v, 1)) for i, v in enumerate(values)]
+    rows.append(("para", "Tarn Daily", "Fine", rows[20][3].replace("keeper", "$name$", 1)))
+    rows += [("ok1", "Tarn Daily", "Fine", rows[21][3].replace("keeper", "[sic]", 1)), ("ok2", "Tarn Daily", "Fine", rows[22][3].replace(", staff", " [sic], staff")), ("ok3", "Tarn Daily", "[Updated] Title a words", rows[23][3])]
+    df = spark.createDataFrame(rows, "id string, site_name string, title string, content string")
+    got = {r["id"] for r in residue.residue(df).where("slot").collect()}
+    assert got == {f"u{i}" for i in range(len(values))} | {"para"}
