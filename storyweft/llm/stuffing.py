@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,7 @@ SURPLUS, SPARE = 3.0, 2.0  # of a prose word counts at most SURPLUS times what i
 HALF, EXTREME = 0.5, 0.25  # share of the usual prose under which a page is suspect, and under which it needs no further sign
 STEEP, ODD = 1.0, 1.0  # robust deviations of slope and residual that confirm a suspect page
 FEW = 12  # pages of a language and length that make a baseline of their own
+HEAD, HEAD_SHARE, GROWTH = 5, 0.33, 0.8  # a page whose HEAD commonest words repeat for more than that share of it, or with fewer words than n ** GROWTH, teaches no prose
 
 CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 LINK = re.compile(r"</?a\b", re.I)
@@ -30,44 +33,57 @@ def page_words(text: str) -> list[str]:
     return WORDS(CAMEL.sub(" ", LINK.sub(" ", text) if "<" in text else text).lower())
 
 
+def uneven(counts: Counter, n: int) -> bool:
+    """Whether a page's own rank-frequency curve has too heavy a head, or too few words, to learn prose from it."""
+    return sum(c - 1 for _, c in counts.most_common(HEAD)) > HEAD_SHARE * n or n > 1 and math.log(len(counts)) < GROWTH * math.log(n)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each language tag and word the pages that hold it and its occurrences; of the empty word pages and tokens."""
-    held: dict[str, Counter] = {}
-    times: dict[str, Counter] = {}
+    """Of each language tag and word the pages that hold it and its occurrences; of the empty word pages and tokens; apart for pages that are ``uneven``."""
+    held: dict[tuple[str, bool], Counter] = {}
+    times: dict[tuple[str, bool], Counter] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(t, w, n, times[t][w]) for t, c in held.items() for w, n in c.items()]
+        rows = [(*t, w, n, times[t][w]) for t, c in held.items() for w, n in c.items()]
         held.clear()
         times.clear()
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["tag", "word", "held", "times"])
+        cols = list(zip(*rows)) or [(), (), (), (), ()]
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["tag", "uneven", "word", "held", "times"])
 
     for batch in batches:
         for tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             c = Counter(page_words(text))
-            held.setdefault(tag, Counter()).update(c.keys())
-            times.setdefault(tag, Counter()).update(c)
-            held[tag][""] += 1
-            times[tag][""] += sum(c.values())
+            n = sum(c.values())
+            at = tag, uneven(c, n)
+            held.setdefault(at, Counter()).update(c.keys())
+            times.setdefault(at, Counter()).update(c)
+            held[at][""] += 1
+            times[at][""] += n
         if sum(map(len, held.values())) > 400_000:  # added up in the shuffle
             yield out()
     yield out()
 
 
 def prose_words(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict[str, float]]:
-    """Of each language its prose words with their usual share of tokens, learnt from all pages by their tags.
+    """Of each language its prose words with their usual share of tokens, learnt by their tags from all pages that aren't ``uneven``.
 
-    Tags are in lower case, null, empty and ``und`` aside; wrong ones among many right ones do no harm.
+    Each distinct text counts once, so that neither copies nor pages of one keyword set are prose for being many. A language with fewer
+    than TAG_PAGES even pages is learnt from all of its pages. Tags are in lower case, null, empty and ``und`` aside; wrong ones among
+    many right ones do no harm.
     """
     tag = F.lower(F.trim(F.col(lang)))
     source = documents.select(tag.alias("tag"), F.col(text).alias("text")).where("tag is not null and tag not in ('', 'und') and text is not null")
-    summed = source.mapInArrow(_counts, "tag string, word string, held bigint, times bigint").groupBy("tag", "word").agg(F.sum("held").alias("held"), F.sum("times").alias("times"))
+    source = source.withColumn("print", F.xxhash64("text")).dropDuplicates(["tag", "print"]).select("tag", "text")
+    even = lambda c: F.coalesce(F.sum(F.when(~F.col("uneven"), F.col(c))), F.lit(0)).alias(f"even_{c}")
+    summed = source.mapInArrow(_counts, "tag string, uneven boolean, word string, held bigint, times bigint").groupBy("tag", "word").agg(F.sum("held").alias("held"), F.sum("times").alias("times"), even("held"), even("times"))
     # a tenth of eleven pages is more than one; read several times, so cut
     summed = cut(summed.where("held > 1 or word = ''"))
-    whole = summed.where("word = ''").select("tag", F.col("held").alias("pages"), F.col("times").alias("tokens"))
+    whole = summed.where("word = ''").select("tag", F.col("held").alias("pages"), F.col("times").alias("tokens"), F.col("even_held").alias("even_pages"), F.col("even_times").alias("even_tokens"))
     total = whole.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("all")).first()["all"]
     known = whole.where((F.col("pages") >= TAG_PAGES) & (F.col("pages") >= TAG_SHARE * total))
-    common = summed.where("word != ''").join(known, "tag").where(F.col("held") >= PROSE_SHARE * F.col("pages")).select("tag", "word", (F.col("times") / F.col("tokens")).alias("q"))
+    of = lambda c: F.when(F.col("even_pages") >= TAG_PAGES, F.col(f"even_{c}")).otherwise(F.col(c))
+    common = summed.where("word != ''").join(known, "tag").where(of("held") >= PROSE_SHARE * of("pages")).select("tag", "word", (of("times") / of("tokens")).alias("q"))
     out: dict[str, dict[str, float]] = {}
     for r in common.collect():  # bounded, see PROSE_SHARE and TAG_SHARE
         out.setdefault(r["tag"], {})[r["word"]] = r["q"]
@@ -75,7 +91,7 @@ def prose_words(documents: DataFrame, text: str = "text", lang: str = "lang") ->
 
 
 def curves(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Columns ``doc, n, slope, residual, prose, language``: a row for each page that has words.
+    """Columns ``doc, n, slope, residual, prose, language, uneven, print``: a row for each page that has words.
 
     A page's frequencies, each with the number of words that have it, are ranked by a window over the page; words of one frequency share
     the middle of their ranks. ``slope`` and ``residual`` are those of the line through log frequency by log rank, each
@@ -94,7 +110,7 @@ def curves(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, any_ = shared.value
         for batch in batches:
-            at, n_, prose_, language_, c_, m_ = [], [], [], [], [], []
+            at, n_, prose_, language_, c_, m_, uneven_, print_ = [], [], [], [], [], [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
                 counts = Counter(page_words(t))
                 n = sum(counts.values())
@@ -107,6 +123,7 @@ def curves(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
                     for name, words in languages.items():
                         if w in words:
                             cover[name] += v
+                odd, digest = uneven(counts, n), xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63
                 spectrum = Counter(counts.values())
                 for c, m in spectrum.items():
                     at.append(i)
@@ -115,31 +132,33 @@ def curves(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
                     language_.append(max(cover, key=cover.get) if cover else None)
                     c_.append(c)
                     m_.append(m)
+                    uneven_.append(odd)
+                    print_.append(digest)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(take), batch.column("doc").take(take), pa.array(n_, pa.int64()), pa.array(prose_, pa.float64()), pa.array(language_, pa.string()), pa.array(c_, pa.int64()), pa.array(m_, pa.int64())],
-                names=["row", "doc", "n", "prose", "language", "c", "m"],
+                [batch.column("row").take(take), batch.column("doc").take(take), pa.array(n_, pa.int64()), pa.array(prose_, pa.float64()), pa.array(language_, pa.string()), pa.array(c_, pa.int64()), pa.array(m_, pa.int64()), pa.array(uneven_, pa.bool_()), pa.array(print_, pa.int64())],
+                names=["row", "doc", "n", "prose", "language", "c", "m", "uneven", "print"],
             )
 
-    spectrum = source.mapInArrow(run, f"row bigint, doc {kind}, n bigint, prose double, language string, c bigint, m bigint")
+    spectrum = source.mapInArrow(run, f"row bigint, doc {kind}, n bigint, prose double, language string, c bigint, m bigint, uneven boolean, print bigint")
     w = Window.partitionBy("row").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.sum("m").over(w) - (F.col("m") - 1) / 2.0
     ranked = spectrum.withColumn("x", F.log(middle)).withColumn("y", F.log(F.col("c").cast("double")))
     m, x, y = F.col("m"), F.col("x"), F.col("y")
     sums = ranked.groupBy("row").agg(
-        *(F.first(c).alias(c) for c in ("doc", "n", "prose", "language")), F.sum("m").alias("k"), F.sum(m * x).alias("sx"), F.sum(m * y).alias("sy"), F.sum(m * x * x).alias("sxx"), F.sum(m * x * y).alias("sxy"), F.sum(m * y * y).alias("syy")
+        *(F.first(c).alias(c) for c in ("doc", "n", "prose", "language", "uneven", "print")), F.sum("m").alias("k"), F.sum(m * x).alias("sx"), F.sum(m * y).alias("sy"), F.sum(m * x * x).alias("sxx"), F.sum(m * x * y).alias("sxy"), F.sum(m * y * y).alias("syy")
     )
     vx, vy, vxy = (F.col(a) / F.col("k") - F.col(b) * F.col(c) / F.col("k") / F.col("k") for a, b, c in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
     slope = F.when(vx > 1e-12, -vxy / vx).otherwise(F.when(F.col("k") == 1, F.col("n").cast("double")).otherwise(0.0))
     residual = F.sqrt(F.greatest(F.lit(0.0), vy - F.when(vx > 1e-12, vxy * vxy / vx).otherwise(0.0)))
-    return sums.select("doc", "n", slope.alias("slope"), residual.alias("residual"), "prose", "language")
+    return sums.select("doc", "n", slope.alias("slope"), residual.alias("residual"), "prose", "language", "uneven", "print")
 
 
 def stuffed(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Columns ``key, slope, residual, prose`` of the pages that are stuffed keywords, link or tag lists for the most part.
 
     Each page is compared with pages of its language and of about its length (powers of two): the median of their
-    prose share, median and deviation of slope and residual. A page with less than HALF of the usual prose is flagged
+    prose share, median and deviation of slope and residual, over distinct texts that aren't ``uneven``, or all where a language has fewer than FEW of them. A page with less than HALF of the usual prose is flagged
     if its curve is steeper or further from a line than theirs, and without more if it has less than EXTREME of it.
 
     Null, empty and wordless texts, those of up to three words, and null keys, are not flagged; rows with one key are judged each.
@@ -147,8 +166,12 @@ def stuffed(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """
     page = cut(curves(documents, key, text, lang).withColumn("size", F.floor(F.log2(F.col("n").cast("double")))))
 
+    once = page.dropDuplicates(["language", "print"])
+    few = once.groupBy("language").agg(F.sum((~F.col("uneven")).cast("int")).alias("even"))
+    learnt = once.join(F.broadcast(few), "language").where(~F.col("uneven") | (F.col("even") < FEW))
+
     def middle(by: list[str], prefix: str) -> DataFrame:
-        return page.groupBy(*by).agg(F.count("*").alias(f"{prefix}many"), *(F.percentile_approx(c, [0.5, 0.84], 2000).alias(f"{prefix}{c}") for c in ("slope", "residual", "prose")))
+        return learnt.groupBy(*by).agg(F.count("*").alias(f"{prefix}many"), *(F.percentile_approx(c, [0.5, 0.84], 2000).alias(f"{prefix}{c}") for c in ("slope", "residual", "prose")))
 
     fine, wide = middle(["language", "size"], "a_"), middle(["language"], "b_")
     both = page.join(F.broadcast(fine), ["language", "size"], "left").join(F.broadcast(wide), "language", "left")  # a row for each known language and power of two

@@ -167,6 +167,17 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_frequent_stuffing_is_no_prose(spark, copies):
+    """Copies of one stuffed page, and pages of one keyword set, are found however many they are."""
+    rng = random.Random(8)
+    stuff = lambda: " ".join(rng.choice(["cheap ring", "buy ring", "ring price", "emf meter"]) for _ in range(80))
+    page = stuff()
+    rows = [(i, prose(rng, rng.randrange(3, 30)), "en") for i in range(200)] + [(1000 + i, page if copies else stuff(), "en") for i in range(300)]
+    got = {r["doc_id"] for r in stuffing.stuffed(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == set(range(1000, 1300))
+
+
 def test_curve_of_a_page(spark):
     import numpy as np
 
