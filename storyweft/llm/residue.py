@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyweft.llm.pages import OUTSIDE, classified, visible_lines, vocabulary
+from storyweft.llm.pages import OUTSIDE, Vocabulary, classified, visible_lines, vocabulary
 
 WHOLE, LIKELY = 0.4, 0.1  # share of a line's class on pages without a paragraph: of an error template; of what may be one
 CONTENT = 0.12  # and the share under which a line is ordinary content
@@ -59,7 +59,7 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
     """
     source = articles.select(F.col(key).alias("k"), F.col(title).alias("title"), F.col(content).alias("content")).where("k is not null")
     words = vocabulary(articles, content) if words is None else words
-    shared = articles.sparkSession.sparkContext.broadcast(frozenset(w for w, usual in words.items() if usual))
+    shared = articles.sparkSession.sparkContext.broadcast(words.usual if isinstance(words, Vocabulary) else frozenset(w for w, usual in words.items() if usual))
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         usual = shared.value

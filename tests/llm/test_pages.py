@@ -98,3 +98,15 @@ def test_slots_are_induced(spark):
     df = spark.createDataFrame(rows, "id string, site_name string, title string, content string")
     got = {r["id"] for r in residue.residue(df).where("slot").collect()}
     assert got == {f"u{i}" for i in range(len(values))} | {"para"}
+
+
+def test_frequent_filler_is_filler(spark):
+    """Filler that a tenth of the records hold is filler, and a report in a language of one in a hundred isn't."""
+    rng = random.Random(4)
+    latin = "lorem vento corda ipsum ferro umbra salix velit dolor morba amera fusta tenui nulla pelat quisso".split()
+    dutch = ["de molenaar van {} zag een vreemd licht boven de oude toren en hij zei dat het een uil was", "niemand in {} wist wat het was maar de buren van de molen hoorden een klok in de nacht"]
+    rows = [(f"r{i}", "Tarn Daily", "Fine", "en", f"<p>{prose(rng)}</p>\n<p>{prose(rng)}</p>") for i in range(1500)]
+    rows += [(f"f{i}", "Tarn Daily", "Fine", "en", "<p>" + " ".join(rng.choices(latin, k=45)) + "</p>") for i in range(170)]
+    rows += [(f"n{i}", "Tarn Daily", "Fine", "nl", "<p>" + " ".join(d.format(f"Dorp{rng.choice('abcde')}") for d in dutch) + "</p>") for i in range(15)]
+    df = spark.createDataFrame(rows, "id string, site_name string, title string, lang string, content string")
+    assert {r["id"] for r in residue.residue(df).where("filler").collect()} == {f"f{i}" for i in range(170)}
