@@ -26,13 +26,16 @@ SLOTS = [
 SLOT = re.compile("|".join(SLOTS))
 # What programs print for a value that isn't there.
 STRAY = re.compile(r"(?:undefined|null|NaN|None|nil|N/A|\(null\)|\[object \w+\])(?:[\s,;|/-]+(?:undefined|null|NaN|None|nil|N/A|\(null\)|\[object \w+\]))*")
+CAPITAL, CLOSED = re.compile(r"<[A-Z]").search, re.compile(r"</([A-Z]+)>")
 KEPT = re.compile(r"<(?![%/A-Z][A-Z_]*[%>])[^>]*>")
 
 
 def holds_slot(text: str | None) -> bool:
     """Whether a title or content holds an unfilled slot; markup as such is none."""
-    if not text or not any(c in text for c in "{%@_[&") and "TK" not in text:
+    if not text or not any(c in text for c in "{%@_[&") and "TK" not in text and not CAPITAL(text):
         return False
+    if closed := set(CLOSED.findall(text)):  # markup in capitals
+        text = re.sub(f"<(?:{'|'.join(sorted(closed))})>", " ", text)
     return bool(SLOT.search(html.unescape(KEPT.sub(" ", text)))) or bool(SLOT.search(text) if "<%" in text else False)
 
 

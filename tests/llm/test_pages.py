@@ -110,3 +110,9 @@ def test_frequent_filler_is_filler(spark):
     rows += [(f"n{i}", "Tarn Daily", "Fine", "nl", "<p>" + " ".join(d.format(f"Dorp{rng.choice('abcde')}") for d in dutch) + "</p>") for i in range(15)]
     df = spark.createDataFrame(rows, "id string, site_name string, title string, lang string, content string")
     assert {r["id"] for r in residue.residue(df).where("filler").collect()} == {f"f{i}" for i in range(170)}
+
+
+def test_raw_slots():
+    """A slot in angle brackets is one without any other sign; markup in capitals is none."""
+    assert residue.holds_slot("<HEADLINE>") and residue.holds_slot("<p>By <AUTHOR>.</p>")
+    assert not residue.holds_slot("<DIV>Owls</DIV>") and not residue.holds_slot("<P>Owls</P>")
