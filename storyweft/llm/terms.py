@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+from storyweft.operators.skew import HOT, salted_join
+from storyweft.session import cut
 
 
 def words(text: Column) -> Column:
@@ -13,7 +14,34 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def distinctiveness(df: DataFrame, key: str = "id", text: str = "title_norm", c: float = 1.0) -> DataFrame:
+def information(rate: Column, tfn: Column | float = 1.0) -> Column:
+    """Bits of ``tfn`` occurrences of a term that has ``rate`` occurrences a record, under the geometric model; falls as the rate grows, for one occurrence."""
+    tfn = F.lit(tfn) if isinstance(tfn, float) else tfn
+    return F.log2(1 + rate) + tfn * F.log2((1 + rate) / rate)
+
+
+def _postings(df: DataFrame, key: str, text: str) -> DataFrame:
+    source = df.select(F.col(key).alias("k"), words(F.col(text)).alias("ws"), F.monotonically_increasing_id().alias("row")).where(F.col("k").isNotNull())
+    return (
+        source.select("k", F.size("ws").alias("len"), F.explode("ws").alias("term"), "row")
+        .groupBy("k", "term", "row").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        .groupBy("k", "term").agg(F.max("tf").alias("tf"), F.max("len").alias("len"))
+    )
+
+
+def _totals(df: DataFrame, key: str, text: str) -> tuple[Column, Column]:
+    """Number and average length of the records."""
+    lengths = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.greatest(F.coalesce(F.size(words(F.col(text))), F.lit(0)), F.lit(0))).alias("len"))
+    row = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    return F.lit(float(row["n"])), F.lit(float(row["avg"] or 0.0))
+
+
+def _scored(rows: DataFrame, records: Column, average: Column, c: float, key: str) -> DataFrame:
+    tfn = F.col("tf") * F.log2(1 + c * average / F.col("len"))
+    return rows.select(F.col("k").alias(key), "term", "tf", "df", (information(F.col("total") / records, tfn) / (tfn + 1)).alias("score"))
+
+
+def distinctiveness(df: DataFrame, key: str = "id", text: str = "title_norm", c: float = 1.0, hot: int = HOT) -> DataFrame:
     """Columns ``key, term, tf, df, score``: one row for each record and distinct word of it.
 
     The score is ``gain * information``: with F the term's occurrences, N the records, λ = F/N and the length-normalised
@@ -24,26 +52,27 @@ def distinctiveness(df: DataFrame, key: str = "id", text: str = "title_norm", c:
     but count as records of length 0 in N; rows with a null key are left out. An empty table gives an
     empty result. Other columns are not read.
 
-    Frequencies come from map-side combined sums. The statistics of words go to the rows by a salted join, since one
-    word may be in a third of all records.
+    Frequencies come from map-side combined sums. The statistics of words go to the rows by a join that cuts words of more
+    than ``hot`` records into parts, since one word may be in a third of all.
     """
-    source = df.select(F.col(key).alias("k"), words(F.col(text)).alias("ws"), F.monotonically_increasing_id().alias("row")).where(F.col("k").isNotNull())
-    totals = source.groupBy("k").agg(F.max(F.greatest(F.coalesce(F.size("ws"), F.lit(0)), F.lit(0))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()  # one row
-    records, average = F.lit(float(totals["n"])), F.lit(float(totals["avg"] or 0.0))
-    posting = (
-        source.select("k", F.size("ws").alias("len"), F.explode("ws").alias("term"), "row")
-        .groupBy("k", "term", "row").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-        .groupBy("k", "term").agg(F.max("tf").alias("tf"), F.max("len").alias("len"))
-    )
-    stats = posting.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    salted = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = posting.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
-    lam = F.col("total") / records
-    tfn = F.col("tf") * F.log2(1 + c * average / F.col("len"))
-    score = (F.log2(1 + lam) + tfn * F.log2((1 + lam) / lam)) / (tfn + 1)
-    return joined.select(F.col("k").alias(key), "term", "tf", "df", score.alias("score"))
+    records, average = _totals(df, key, text)
+    posting = _postings(df, key, text)
+    stats = cut(posting.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
+    return _scored(salted_join(posting, stats, ["term"], "df", ["k"], hot=hot), records, average, c, key)
 
 
-def distinctive(df: DataFrame, key: str = "id", text: str = "title_norm", least: int = 2, most: int = 40) -> DataFrame:
-    """The scored words that are shared yet rare: in at least ``least`` and at most ``most`` records."""
-    return distinctiveness(df, key, text).where(F.col("df").between(least, most))
+def distinctive(df: DataFrame, key: str = "id", text: str = "title_norm", least: int = 2, most: int = 40, c: float = 1.0, hot: int = HOT) -> DataFrame:
+    """The scored words that are shared yet rare: one occurrence of them tells at least as much as of a word in ``most`` records, at most as much as of one in ``least``.
+
+    What one occurrence tells is its information under the geometric model with λ = df/N, by which words are cut before the
+    others' rows are read; rows, null and empty texts as in :func:`distinctiveness`. Words of more than ``hot`` records
+    are taken out before the shuffle, so that no task gets all rows of one.
+    """
+    records, average = _totals(df, key, text)
+    posting = _postings(df, key, text)
+    stats = cut(posting.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
+    told = information(F.col("df") / records)
+    near = 1e-12  # the same sums, so equal but for rounding
+    kept = stats.where((told >= information(F.lit(float(most)) / records) - near) & (told <= information(F.lit(float(least)) / records) + near))
+    common = F.broadcast(stats.where(F.col("df") > max(hot, most)).select("term"))  # at most rows / hot
+    return _scored(posting.join(common, "term", "left_anti").join(kept, "term"), records, average, c, key)

@@ -24,8 +24,9 @@ def site(name, n, share, line="Share  <b>THIS</b> 2026"):
 
 def test_lines_against_counts(spark):
     rows = site("A", 40, 4) + site("B", 40, 5) + site("C", 20, 20, "Only here") + site("D", 6, 4) + [("n1", None, "Only here"), (None, "C", "x"), ("m", "C", None), ("B0", "B", site("B", 1, 1)[0][2]), ("e", "E", "")]
-    got = {tuple(r) for r in lines.found_lines(articles(spark, rows)).collect()}
+    got = {tuple(r) for r in lines.found_lines(articles(spark, rows), fdr=1.0).collect()}
     assert got == {("B", "share this #"), ("C", "only here")}
+    assert {tuple(r) for r in lines.found_lines(articles(spark, rows)).collect()} == {("C", "only here")}  # four of A's forty hold B's line
     clean = {r["id"]: r["content"] for r in lines.without_repeated_lines(articles(spark, rows)).collect()}
     assert clean["C3"] == "Unique text of C and dx\n" and clean["n1"] == "Only here" and clean["m"] == "" and clean["A0"].startswith("<p>Share")
     assert lines.found_lines(articles(spark, rows).where("false")).count() == 0
@@ -39,6 +40,15 @@ def test_chance_lines_are_no_excess(spark):
     assert r[0] == pytest.approx(0.0) and r[1] > 15
 
 
+def test_ratio_decides(spark):
+    """A line that reaches the counts but is as frequent on other sites is only taken if the ratio may not decide; hot keys are cut into parts."""
+    rows = site("A", 30, 5) + [r for k in range(8) for r in site(f"B{k}", 30, 4 + k % 2 * 2)] + site("C", 30, 9, "Own notice")
+    got = {tuple(r) for r in lines.found_lines(articles(spark, rows), hot=3).collect()}
+    assert got == {("C", "own notice")}
+    every = {tuple(r) for r in lines.found_lines(articles(spark, rows), fdr=1.0).collect()}
+    assert ("A", "share this #") in every and got < every
+
+
 def test_compared_form(spark):
     df = spark.createDataFrame([("<p>A  B</p>12,345 &amp; < c",)], "s string")
     assert df.select(lines.compared(F.col("s"))).first()[0] == "a b #,# &amp; < c"
@@ -58,6 +68,17 @@ def test_terms_against_formula(spark):
     assert got["a", "owl"]["score"] == pytest.approx((math.log2(1 + lam) + tfn * math.log2((1 + lam) / lam)) / (tfn + 1)) and got["a", "owl"]["df"] == 2
     assert {(r["id"], r["term"]) for r in terms.distinctive(df, most=2).collect()} == {(i, w) for i, w in got if w != "long"}
     assert terms.distinctiveness(df.where("false")).count() == 0
+    assert {tuple(r) for r in terms.distinctiveness(df, hot=1).collect()} == {tuple(r) for r in got.values()}
+    assert {tuple(r) for r in terms.distinctive(df, most=2, hot=1).collect()} == {tuple(r) for r in terms.distinctive(df, most=2).collect()}
+
+
+def test_information_cuts_words(spark):
+    """What a word tells falls with its records, so its bounds and those of the records are the same cut; without the model none is made."""
+    rows = [(f"{n}-{i}", f"w{n}") for n in range(1, 8) for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, title_norm string")
+    told = {r["term"]: r["bits"] for r in terms.distinctive(df, most=5).groupBy("term").agg(F.first(terms.information(F.col("df") / F.lit(28.0))).alias("bits")).collect()}
+    assert sorted(told, key=told.get) == ["w5", "w4", "w3", "w2"]
+    assert terms.distinctive(df.where("false")).count() == 0
 
 
 # --- encoding
