@@ -42,7 +42,7 @@ def test_chance_lines_are_no_excess(spark):
 
 def test_ratio_decides(spark):
     """A line that reaches the counts but is as frequent on other sites is only taken if the ratio may not decide; hot keys are cut into parts."""
-    rows = site("A", 30, 5) + [r for k in range(8) for r in site(f"B{k}", 30, 4 + k % 2 * 2)] + site("C", 30, 9, "Own notice")
+    rows = site("A", 30, 5) + [r for k in range(8) for r in site(f"B{k}", 30, 4 + k % 2)] + site("C", 30, 9, "Own notice")
     got = {tuple(r) for r in lines.found_lines(articles(spark, rows), hot=3).collect()}
     assert got == {("C", "own notice")}
     every = {tuple(r) for r in lines.found_lines(articles(spark, rows), fdr=1.0).collect()}
