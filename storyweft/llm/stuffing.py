@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nlargest
 
 import pyarrow as pa
 import xxhash
@@ -18,8 +19,9 @@ from storyweft.session import cut
 PROSE_SHARE = 0.10  # a word is prose in a language if that share of its pages holds it, so a page's words times 1/0.10 bounds their number
 TAG_SHARE, TAG_PAGES = 0.001, 11  # of all tagged pages a language has at least these, so a thousand languages at most
 SURPLUS, SPARE = 3.0, 2.0  # of a prose word counts at most SURPLUS times what is usual, and SPARE occurrences
-HALF, EXTREME = 0.5, 0.25  # share of the usual prose under which a page is suspect, and under which it needs no further sign
-STEEP, ODD = 1.0, 1.0  # robust deviations of slope and residual that confirm a suspect page
+HALF, EXTREME = 1 / 2, 1 / 3  # share of the usual prose under which a page is suspect, and under which it is extreme
+CERTAIN = 6.0  # deviations of slope, residual or prose that are extreme by themselves
+STEEP, ODD, FLOOR = 1.0, 1.0, 0.05  # deviations of slope and residual that confirm a suspect page; least deviation, as short pages have few slopes
 FEW = 12  # pages of a language and length that make a baseline of their own
 HEAD, HEAD_SHARE, GROWTH = 5, 0.33, 0.8  # a page whose HEAD commonest words repeat for more than that share of it, or with fewer words than n ** GROWTH, teaches no prose
 
@@ -28,14 +30,28 @@ LINK = re.compile(r"</?a\b", re.I)
 WORDS = re.compile(r"[^\W_]+").findall
 
 
-def page_words(text: str) -> list[str]:
-    """Words of a page in lower case: runs of letters and digits, CamelCase apart, without the names of link tags."""
-    return WORDS(CAMEL.sub(" ", LINK.sub(" ", text) if "<" in text else text).lower())
+class PageWords:
+    """Words of pages in lower case with their counts: runs of letters and digits, CamelCase apart, without the names of link tags."""
 
+    def __init__(self):
+        self.known: dict[str, list[str]] = {}
 
-def uneven(counts: Counter, n: int) -> bool:
+    def __call__(self, text: str) -> dict[str, int]:
+        known, out = self.known, {}
+        if len(known) > 500_000:
+            known.clear()
+        for w, c in Counter(WORDS(LINK.sub(" ", text) if "<" in text else text)).items():
+            parts = known.get(w)
+            if parts is None:
+                parts = known[w] = WORDS(CAMEL.sub(" ", w).lower())
+            for p in parts:
+                out[p] = out.get(p, 0) + c
+        return out
+
+
+def uneven(counts: dict[str, int], n: int) -> bool:
     """Whether a page's own rank-frequency curve has too heavy a head, or too few words, to learn prose from it."""
-    return sum(c - 1 for _, c in counts.most_common(HEAD)) > HEAD_SHARE * n or n > 1 and math.log(len(counts)) < GROWTH * math.log(n)
+    return sum(nlargest(HEAD, counts.values())) - min(HEAD, len(counts)) > HEAD_SHARE * n or n > 1 and math.log(len(counts)) < GROWTH * math.log(n)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,9 +67,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["tag", "uneven", "word", "held", "times"])
 
+    words = PageWords()
     for batch in batches:
         for tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            c = Counter(page_words(text))
+            c = words(text)
             n = sum(c.values())
             at = tag, uneven(c, n)
             held.setdefault(at, Counter()).update(c.keys())
@@ -99,48 +116,51 @@ def curves(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     language, each capped by its usual share; ``language`` is the one whose prose words cover most of the page.
     """
     usual = prose_words(documents, text, lang)
-    best: dict[str, float] = {}
-    for words in usual.values():
-        for w, q in words.items():
-            best[w] = max(q, best.get(w, 0.0))
-    shared = documents.sparkSession.sparkContext.broadcast((usual, best))
+    names = sorted(usual)
+    known: dict[str, tuple[float, tuple[int, ...]]] = {}
+    for i, name in enumerate(names):
+        for w, q in usual[name].items():
+            best, of = known.get(w, (0.0, ()))
+            known[w] = max(q, best), (*of, i)
+    shared = documents.sparkSession.sparkContext.broadcast((names, known))
     source = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     kind = source.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, any_ = shared.value
+        names, known = shared.value
+        words = PageWords()
         for batch in batches:
             at, n_, prose_, language_, c_, m_, uneven_, print_ = [], [], [], [], [], [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
-                counts = Counter(page_words(t))
+                counts = words(t)
                 n = sum(counts.values())
                 if not n:
                     continue
-                prose, cover = 0.0, dict.fromkeys(languages, 0.0)
-                for w in counts.keys() & any_.keys():
-                    v = min(counts[w], SPARE + SURPLUS * any_[w] * n)
+                prose, cover = 0.0, [0.0] * len(names)
+                for w in counts.keys() & known.keys():
+                    q, of = known[w]
+                    v = min(counts[w], SPARE + SURPLUS * q * n)
                     prose += v
-                    for name, words in languages.items():
-                        if w in words:
-                            cover[name] += v
-                odd, digest = uneven(counts, n), xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63
+                    for k in of:
+                        cover[k] += v
+                at.append(i)
+                n_.append(n)
+                prose_.append(prose / n)
+                language_.append(names[cover.index(max(cover))] if names else None)
+                uneven_.append(uneven(counts, n))
+                print_.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63)
                 spectrum = Counter(counts.values())
-                for c, m in spectrum.items():
-                    at.append(i)
-                    n_.append(n)
-                    prose_.append(prose / n)
-                    language_.append(max(cover, key=cover.get) if cover else None)
-                    c_.append(c)
-                    m_.append(m)
-                    uneven_.append(odd)
-                    print_.append(digest)
+                c_.append(list(spectrum.keys()))
+                m_.append(list(spectrum.values()))
             take = pa.array(at, pa.int64())
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(take), batch.column("doc").take(take), pa.array(n_, pa.int64()), pa.array(prose_, pa.float64()), pa.array(language_, pa.string()), pa.array(c_, pa.int64()), pa.array(m_, pa.int64()), pa.array(uneven_, pa.bool_()), pa.array(print_, pa.int64())],
-                names=["row", "doc", "n", "prose", "language", "c", "m", "uneven", "print"],
+                [batch.column("row").take(take), batch.column("doc").take(take), pa.array(n_, pa.int64()), pa.array(prose_, pa.float64()), pa.array(language_, pa.string()), pa.array(c_, lists), pa.array(m_, lists), pa.array(uneven_, pa.bool_()), pa.array(print_, pa.int64())],
+                names=["row", "doc", "n", "prose", "language", "cs", "ms", "uneven", "print"],
             )
 
-    spectrum = source.mapInArrow(run, f"row bigint, doc {kind}, n bigint, prose double, language string, c bigint, m bigint, uneven boolean, print bigint")
+    page = source.mapInArrow(run, f"row bigint, doc {kind}, n bigint, prose double, language string, cs array<bigint>, ms array<bigint>, uneven boolean, print bigint")
+    spectrum = page.select("row", "doc", "n", "prose", "language", "uneven", "print", F.explode(F.arrays_zip("cs", "ms")).alias("x")).select("*", F.col("x.cs").alias("c"), F.col("x.ms").alias("m")).drop("x")
     w = Window.partitionBy("row").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.sum("m").over(w) - (F.col("m") - 1) / 2.0
     ranked = spectrum.withColumn("x", F.log(middle)).withColumn("y", F.log(F.col("c").cast("double")))
@@ -154,14 +174,17 @@ def curves(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     return sums.select("doc", "n", slope.alias("slope"), residual.alias("residual"), "prose", "language", "uneven", "print")
 
 
-def stuffed(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def stuffed(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", certain: float = CERTAIN, curve: bool = True) -> DataFrame:
     """Columns ``key, slope, residual, prose`` of the pages that are stuffed keywords, link or tag lists for the most part.
 
     Each page is compared with pages of its language and of about its length (powers of two): the median of their
-    prose share, median and deviation of slope and residual, over distinct texts that aren't ``uneven``, or all where a language has fewer than FEW of them. A page with less than HALF of the usual prose is flagged
-    if its curve is steeper or further from a line than theirs, and without more if it has less than EXTREME of it.
+    prose share, median and deviation of slope and residual, over distinct texts that aren't ``uneven``, or all where a language has fewer
+    than FEW of them. Any of three signs flags a page by itself: a curve steeper than theirs by ``certain`` deviations, one further from a
+    line by as many, or less than EXTREME of their prose, if that is ``certain`` binomial deviations off (so a few words are never enough).
+    A page with less than HALF of the usual prose is flagged as well if its curve is somewhat steeper or further from a line.
+    ``curve`` false leaves out what slope and residual tell.
 
-    Null, empty and wordless texts, those of up to three words, and null keys, are not flagged; rows with one key are judged each.
+    Null, empty and wordless texts, and null keys, are not flagged; rows with one key are judged each.
     Other columns are not read; an empty table gives an empty result.
     """
     page = cut(curves(documents, key, text, lang).withColumn("size", F.floor(F.log2(F.col("n").cast("double")))))
@@ -176,7 +199,9 @@ def stuffed(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     fine, wide = middle(["language", "size"], "a_"), middle(["language"], "b_")
     both = page.join(F.broadcast(fine), ["language", "size"], "left").join(F.broadcast(wide), "language", "left")  # a row for each known language and power of two
     pick = lambda c, i: F.when(F.col("a_many") >= FEW, F.col(f"a_{c}")[i]).otherwise(F.col(f"b_{c}")[i])
-    deviation = lambda c: (F.col(c) - pick(c, 0)) / (F.greatest(pick(c, 1) - pick(c, 0), F.lit(0.0)) + 0.02)
-    relative = F.col("prose") / pick("prose", 0)
-    flagged = (relative < EXTREME) | ((relative < HALF) & ((deviation("slope") > STEEP) | (deviation("residual") > ODD)))
-    return both.where(flagged & (F.col("n") > 3)).select(F.col("doc").alias(key), "slope", "residual", "prose")
+    deviation = lambda c: (F.col(c) - pick(c, 0)) / (F.greatest(pick(c, 1) - pick(c, 0), F.lit(0.0)) + FLOOR)
+    usual = pick("prose", 0)
+    off = (usual - F.col("prose")) / F.sqrt(F.greatest(usual * (1 - usual), F.lit(0.1)) / F.col("n"))
+    steep, odd = (deviation("slope"), deviation("residual")) if curve else (F.lit(0.0), F.lit(0.0))
+    flagged = (steep > certain) | (odd > certain) | ((F.col("prose") < EXTREME * usual) & (off > certain)) | ((F.col("prose") < HALF * usual) & ((steep > STEEP) | (odd > ODD)))
+    return both.where(flagged).select(F.col("doc").alias(key), "slope", "residual", "prose")

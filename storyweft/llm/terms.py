@@ -33,7 +33,7 @@ def _totals(df: DataFrame, key: str, text: str) -> tuple[Column, Column]:
     """Number and average length of the records."""
     lengths = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.greatest(F.coalesce(F.size(words(F.col(text))), F.lit(0)), F.lit(0))).alias("len"))
     row = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    return F.lit(float(row["n"])), F.lit(float(row["avg"] or 0.0))
+    return F.lit(float(max(row["n"], 1))), F.lit(float(row["avg"] or 0.0))
 
 
 def _scored(rows: DataFrame, records: Column, average: Column, c: float, key: str) -> DataFrame:

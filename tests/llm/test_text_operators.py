@@ -208,3 +208,18 @@ def test_curve_of_a_page(spark):
     x, y = np.log([1, 2, 3.5, 3.5]), np.log(f)  # words of one frequency share the middle of their ranks
     b, a = np.polyfit(x, y, 1)
     assert got["n"] == 8 and got["slope"] == pytest.approx(-b) and got["residual"] == pytest.approx(np.sqrt(np.mean((y - a - b * x) ** 2)))
+
+
+def test_curve_flags_alone(spark):
+    """Pages of prose words over and over have the usual prose share: only the curve tells them."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 14 + i % 9), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(["mill tower"] * 70 + rng.sample(["the keeper of the mill saw an owl in the tower"] * 3, 3)), "en") for i in range(4)]
+    rows += [(2000 + i, w, "en") for i, w in enumerate(["qwx", "qwx zrv", "qwx zrv kkl"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in stuffing.stuffed(df).collect()} == {1000, 1001, 1002, 1003}
+    assert not {r["doc_id"] for r in stuffing.stuffed(df, curve=False).collect()}
+
+
+def test_page_words():
+    assert stuffing.PageWords()("<a href=\"x\">BuyGhostTour</a> Straße ÉLAN a_b") == {"href": 1, "x": 1, "buy": 1, "ghost": 1, "tour": 1, "straße": 1, "élan": 1, "a": 1, "b": 1}
