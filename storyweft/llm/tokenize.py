@@ -2,7 +2,8 @@
 
 Pieces are bucketed by length. In each round every row of a bucket merges its leftmost pair of minimum rank:
 ranks of adjacent pairs come from an open-addressing hash table held in numpy arrays, the row is compacted by one
-column, and rows without a mergeable pair leave the matrix.
+column, and rows without a mergeable pair leave the matrix. A piece of more than FOLD bytes is folded into several rows of a
+matrix of its own, whose rounds are the same.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 NONE = np.int32(2**31 - 1)
-LONG = 192  # bytes from which a piece is merged on its own, all places of the best pair in one round
+FOLD, BLOCK = 1024, 256  # bytes from which a piece is folded into the rows of a matrix of its own, and tokens of such a row
 CACHE = 400_000  # distinct pieces kept by a worker
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,6 +93,7 @@ class Encoder:
         self.pairs = PairTable(ranks)
         self.whole = {k: np.array([v], np.int32) for k, v in ranks.items()}
         self.known: dict[str, np.ndarray] = {}
+        self.ranks: dict[int, int] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""
@@ -99,8 +101,8 @@ class Encoder:
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if out[i] is None:
-                if len(p) > LONG:
-                    out[i] = self._one(p)
+                if len(p) > FOLD:
+                    out[i] = self._folded(p)
                 else:
                     buckets.setdefault(-(-len(p) // 4) * 4, []).append(i)
         for wide, members in buckets.items():
@@ -139,20 +141,62 @@ class Encoder:
             rank[n[left], at[left] - 1] = self.pairs(ids[n[left], at[left] - 1], best[left])
         return out
 
-    def _one(self, piece: bytes) -> np.ndarray:
-        """A very long piece: each round merges every place of the best pair, from the left, without overlap."""
-        ids = self.single[np.frombuffer(piece, np.uint8)]
-        while len(ids) > 1:
-            rank = self.pairs(ids[:-1], ids[1:])
-            best = rank.min()
-            if best == NONE:
-                break
-            at = np.flatnonzero(rank == best)
-            start = np.r_[True, np.diff(at) > 1]
-            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))) % 2 == 0]
-            ids[at] = best
-            ids = np.delete(ids, at + 1)
-        return ids
+    def _rank(self, a: int, b: int) -> int:
+        """Rank of one pair, remembered."""
+        key = a << 32 | b
+        if key not in self.ranks:
+            if len(self.ranks) > CACHE:
+                self.ranks.clear()
+            self.ranks[key] = int(self.pairs(np.array([a], np.int32), np.array([b], np.int32))[0])
+        return self.ranks[key]
+
+    def _folded(self, piece: bytes) -> np.ndarray:
+        """A very long piece, folded into padded rows of BLOCK tokens: a round merges its leftmost pair of minimum rank as well.
+
+        Each row's least rank is kept, so a round looks at one figure a row and at one or two rows, which are compacted;
+        when half of the room is padding the rows are filled up again. The last pair of a row is with the first token of the next.
+        """
+        tokens = self.single[np.frombuffer(piece, np.uint8)]
+        while True:
+            rows = -(-len(tokens) // BLOCK)
+            ids = np.full((rows, BLOCK), -1, np.int32)
+            ids.ravel()[: len(tokens)] = tokens
+            size = [BLOCK] * (rows - 1) + [len(tokens) - BLOCK * (rows - 1)]
+            flat = np.full(rows * BLOCK, NONE, np.int32)
+            flat[: max(len(tokens) - 1, 0)] = self.pairs(tokens[:-1], tokens[1:]) if len(tokens) > 1 else NONE
+            rank = flat.reshape(rows, BLOCK)
+            least = rank.min(axis=1)
+            before, after = list(range(-1, rows - 1)), [*range(1, rows), -1]  # rows that still have tokens
+            left, room = len(tokens), max(len(tokens) // 2, 1)
+            done = False
+            while left > room or rows == 1:
+                r = int(least.argmin())
+                if least[r] == NONE:
+                    done = True
+                    break
+                at = int(rank[r].argmin())
+                ids[r, at] = merged = rank[r, at]
+                s, gone = (r, at + 1) if at + 1 < size[r] else (after[r], 0)
+                ids[s, gone:-1], rank[s, gone:-1] = ids[s, gone + 1 :], rank[s, gone + 1 :]
+                ids[s, -1], rank[s, -1] = -1, NONE
+                size[s] -= 1
+                left -= 1
+                if not size[s]:
+                    least[s] = NONE
+                    if before[s] >= 0:
+                        after[before[s]] = after[s]
+                    if after[s] >= 0:
+                        before[after[s]] = before[s]
+                follow = ids[r, at + 1] if at + 1 < size[r] else ids[after[r], 0] if after[r] >= 0 else -1
+                rank[r, at] = self._rank(int(merged), int(follow)) if follow >= 0 else NONE
+                p, k = (r, at - 1) if at else (before[r], size[before[r]] - 1 if before[r] >= 0 else 0)
+                if p >= 0:
+                    rank[p, k] = self._rank(int(ids[p, k]), int(merged))
+                for row in {r, s, p} - {-1}:
+                    least[row] = rank[row].min()
+            tokens = ids.ravel()[ids.ravel() >= 0]
+            if done:
+                return tokens
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for null and for empty text. Lone surrogates count as U+FFFD."""

@@ -101,6 +101,23 @@ def test_encoding_against_a_library(reference):
         assert not t or reference.decode(list(ids)) == t
 
 
+@pytest.mark.parametrize("size", [1, 255, 256, 257, 1023, 1024, 1025, 4000])
+def test_folded_pieces_are_encoded_like_rows(reference, size):
+    """A piece folded into blocks gives what one row gives, at each side of every bound."""
+    rng = random.Random(size)
+    encoder = tokenize.Encoder(tokenize.load_ranks())
+    for text in ("a" * size, "".join(rng.choices("abet hin".replace(" ", ""), k=size)), "".join(rng.choices("théñüß漢字", k=size)), "=" * size, "".join(rng.choices("=-_*", k=size))):
+        raw = text.encode()
+        want = reference.encode_ordinary(text)
+        assert [int(x) for x in encoder._folded(raw)] == [int(x) for x in encoder._rows([raw], len(raw))[0]]
+        assert [int(x) for x in encoder.encode([text])[0]] == want
+
+
+def test_a_very_long_piece(reference):
+    text = "".join(random.Random(5).choices("aeinrst", k=60_000))
+    assert [int(x) for x in tokenize.Encoder(tokenize.load_ranks()).encode([text])[0]] == reference.encode_ordinary(text)
+
+
 def test_encoding_of_a_table(spark, reference):
     df = spark.createDataFrame([(1, "Owls at the mill"), (2, None), (3, ""), (3, ""), (4, "x y")], "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
     got = sorted((r["doc_id"], list(r["ids"])) for r in tokenize.encode(df).collect())
@@ -128,9 +145,9 @@ def brute_leaks(docs, items):
     return out
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])
-def test_leaks_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(leakage, "SENT", limit)
+@pytest.mark.parametrize(("bits", "hot"), [(leakage.BITS, 500_000), (32, 3)])
+def test_leaks_against_brute_force(spark, bits, hot):
+    """Also with a filter too small to drop anything, and with each fingerprint of over three places joined in parts."""
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(15)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 4, 8, 12, 13, 14, 40])))) for i in range(40)] + [(90, None), (91, ""), (92, "?!"), (None, "w1 w2"), (1, "w3 w4")]
@@ -145,7 +162,7 @@ def test_leaks_against_brute_force(spark, monkeypatch, limit):
         docs.append((d, ", ".join(body).upper()))
     df = spark.createDataFrame(docs + docs[-3:], "doc_id bigint, text string").withColumn("item_id", F.lit(1)).withColumn("t", F.lit("clash"))
     ev = spark.createDataFrame(items, "item_id bigint, text string")
-    got = [tuple(r) for r in leakage.leaks(df, ev).collect()]
+    got = [tuple(r) for r in leakage.leaks(df, ev, bits=bits, hot=hot).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_leaks([d for d in docs if d[0] is not None], [i for i in items if i[0] is not None])
     assert leakage.leaks(df.where("false"), ev).count() == 0 and leakage.leaks(df, ev.where("false")).count() == 0
 
