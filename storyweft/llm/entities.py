@@ -3,8 +3,9 @@
 Each spelling becomes a bag of folded words: case, accents, punctuation, order, articles and web forms out; nicknames
 as full names; misspelt or shortened common words (learnt from the names themselves) as those words. Spellings of one bag are one record. Records
 match if their bags differ by one slip (a letter dropped, doubled, added, or two swapped) in one seldom word, or if they are
-the same without spaces. A record with an initial matches a full one if only one *profile* fits: merged records share
-their spellings, so that what was several candidates may have become one, and the initial is tried again each round.
+the same without spaces. A record with an initial matches a full one if only one *profile* fits. Merged records are one profile: it has the
+spellings and the initials of all of them, so it is blocked anew by what they give together (a name of one spelling and a middle
+initial of another answer to both initials), and what were several candidates may have become one. Rounds go on until nothing merges.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from storyweft.session import cut
 COMMON = 0.002  # share of all spellings from which a word is common, so at most words-per-name / 0.002 are
 COMMON_LEAST = 8  # and in so many spellings at least
 SLIP_LENGTH = 5  # letters of a word in which a slip may be
-ROUNDS = 12
 
 # Usual short forms of given names.
 NICKNAMES = """
@@ -102,6 +102,13 @@ class Lexicon:
 
     def word(self, w: str, count: int) -> str:
         """The common word that ``w``, in ``count`` spellings, stands for; ``w`` itself if there is none or several."""
+        if (w, count) not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[w, count] = self._word(w, count)
+        return self.known[w, count]
+
+    def _word(self, w: str, count: int) -> str:
         if w in SHORT:
             return SHORT[w]
         if w in _FULL and len(_FULL[w]) == 1:
@@ -136,37 +143,51 @@ def _open(w: str) -> bool:
     return len(w) == 1 or w in _FULL or (len(w) <= 3 and w.isalpha() and w not in NAMES)
 
 
-def _keys(bag: list[str], plain: list[list[str]], lexicon: Lexicon) -> Iterator[tuple[str, int]]:
-    """Blocking keys and their kind: 0 alike as they are, 1 a full form, 2 a form with an open word, 3 alike without spaces."""
+def _variants(words: list[str], lexicon: Lexicon) -> Iterator[str]:
+    """Keys of a bag of words: all of them, and for each seldom long word the others with it less a letter."""
+    yield "|".join(sorted(words))
+    for i, w in enumerate(words):
+        if len(w) >= SLIP_LENGTH and w not in lexicon.common and w not in NAMES:
+            rest = words[:i] + words[i + 1 :]
+            for k in {w, *(w[:j] + w[j + 1 :] for j in range(len(w)))}:
+                yield "|".join(sorted(rest)) + "~" + k
+
+
+def _alike(bag: list[str], plain: list[list[str]], lexicon: Lexicon) -> Iterator[tuple[str, int]]:
+    """Keys of records that may be alike as they are (0), and without spaces (3)."""
     for words in plain:
         yield "=" + "".join(words), 3
+    for v in _variants(bag, lexicon):
+        yield v, 0
+
+
+def _asked(bag: list[str], lexicon: Lexicon) -> Iterator[tuple[str, bool]]:
+    """Keys by which a form with an open word asks for full ones, and those, true, of a form with several initials."""
     letters = [w for w in bag if _open(w)]
     long = [w for w in bag if w not in letters]
-
-    def variants(words: list[str]) -> Iterator[str]:
-        yield "|".join(sorted(words))
-        for i, w in enumerate(words):
-            if len(w) >= SLIP_LENGTH and w not in lexicon.common and w not in NAMES:
-                rest = words[:i] + words[i + 1 :]
-                for k in {w, *(w[:j] + w[j + 1 :] for j in range(len(w)))}:
-                    yield "|".join(sorted(rest)) + "~" + k
-
-    if letters:
-        for v in variants(bag):
-            yield v, 0
-        if len(letters) == 1 and long:
-            for v in variants(long):
-                for full in sorted(_FULL.get(letters[0], letters[0][0])):
-                    yield f"{full}.{v}", 2
-    else:
-        for v in variants(bag):
-            yield v, 0
-        for i, w in enumerate(bag):  # each word may stand as an initial
-            if len(bag) > 1:
-                for v in variants(bag[:i] + bag[i + 1 :]):
-                    yield f"{w[0]}.{v}", 1
-                    if w in NAMES:
-                        yield f"{w}.{v}", 1
+    if len(letters) == 1 and long:
+        for v in _variants(long, lexicon):
+            for full in sorted(_FULL.get(letters[0], letters[0][0])):
+                yield f"{full}.{v}", False
+    elif len(letters) > 1 and long and all(len(w) == 1 for w in letters):
+        yield f"{'.'.join(sorted(letters))}.{'|'.join(sorted(long))}", True
+
+
+def _offered(bag: list[str], initials: list[str], lexicon: Lexicon) -> Iterator[tuple[str, bool]]:
+    """Keys by which a full form answers, given the initials that any spelling of its profile has besides."""
+    if len(bag) < 2 or any(_open(w) for w in bag):
+        return
+    for i, w in enumerate(bag):  # each word may stand as an initial
+        rest = bag[:i] + bag[i + 1 :]
+        for v in _variants(rest, lexicon):
+            yield f"{w[0]}.{v}", False
+            if w in NAMES:
+                yield f"{w}.{v}", False
+        for x in initials:
+            yield f"{'.'.join(sorted((w[0], x)))}.{'|'.join(sorted(rest))}", True
+        for j in range(i):
+            if len(bag) > 2:
+                yield f"{'.'.join(sorted((w[0], bag[j][0])))}.{'|'.join(sorted(bag[:j] + bag[j + 1 : i] + bag[i + 1 :]))}", True
 
 
 def _one_slip(a: list[str], b: list[str]) -> bool:
@@ -215,38 +236,54 @@ def spellings(names: DataFrame, name: str = "name") -> DataFrame:
     # plain forms that one bag can have are few: words in some order, short or full
     records = cut(bagged.groupBy("id").agg(F.first("bag").alias("bag"), F.collect_set("plain").alias("plain")))
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(shared.value)
-        for pdf in batches:
-            rows = [(k, kind, i, list(bag)) for i, bag, plain in zip(pdf["id"], pdf["bag"], pdf["plain"]) for k, kind in set(_keys(list(bag), [list(p) for p in plain] + [[w for w in p if w not in DROPPED] for p in plain], lexicon))]
-            yield pd.DataFrame(rows, columns=["key", "kind", "id", "bag"])
+    schema = "key string, {} , id bigint, bag array<string>"
+
+    def keyed(make, kind: str, columns: list[str]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lexicon = Lexicon(shared.value)
+            for pdf in batches:
+                rows = [(k, x, row[0], list(row[1])) for row in pdf[columns].itertuples(index=False) for k, x in set(make(lexicon, *row[1:]))]
+                yield pd.DataFrame(rows, columns=["key", kind.split()[0], "id", "bag"])
+
+        return lambda df: df.select(*columns).mapInPandas(run, schema.format(kind)).withColumn("key", F.xxhash64("key"))
+
+    def alike(lexicon, bag, plain):
+        lists = [list(p) for p in plain]
+        return _alike(list(bag), lists + [[w for w in p if w not in DROPPED] for p in lists], lexicon)
 
-    keys = cut(records.mapInPandas(keyed, "key string, kind int, id bigint, bag array<string>").withColumn("key", F.xxhash64("key")))
+    keys = cut(keyed(alike, "kind int", ["id", "bag", "plain"])(records))
     one_slip = F.udf(lambda a, b: _one_slip(list(a), list(b)), "boolean", useArrow=True)
     same = keys.where("kind = 0")
     left, right = same.select("key", F.col("id").alias("a"), F.col("bag").alias("ba")), same.select("key", F.col("id").alias("b"), F.col("bag").alias("bb"))
-    # a key holds all words but a letter, so the records of one key are spellings of the same words
+    # a key holds all words but one, and that less a letter: so few bags have it as there are letters to put back
     pairs = left.join(right, "key").where("a < b").select("a", "b", "ba", "bb").distinct()
     glued = keys.where("kind = 3")
     first = glued.groupBy("key").agg(F.min("id").alias("a"))
-    edges = cut(pairs.where(one_slip("ba", "bb")).select("a", "b").unionByName(glued.join(first, "key").where("id != a").select("a", F.col("id").alias("b"))))
-    initial, full = keys.where("kind = 2").select("key", F.col("id").alias("a"), F.col("bag").alias("ba")), keys.where("kind = 1").select("key", F.col("id").alias("b"), F.col("bag").alias("bb"))
+    edges = pairs.where(one_slip("ba", "bb")).select("a", "b").unionByName(glued.join(first, "key").where("id != a").select("a", F.col("id").alias("b")))
+    settled = cut(records.select(F.col("id").alias("node")).join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
     fits = F.udf(lambda a, b: _fits(list(a), list(b)), "boolean", useArrow=True)
-    open_ = cut(initial.join(full, "key").select("a", "b", "ba", "bb").distinct().where(fits("ba", "bb")).select("a", "b"))
-    label = records.select(F.col("id").alias("node"), F.col("id").alias("component"))
-    settled = label
-    for _ in range(ROUNDS):
-        found = components(edges)
-        settled = cut(label.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    asked = cut(keyed(lambda lexicon, bag: _asked(list(bag), lexicon), "several boolean", ["id", "bag"])(records).select("key", "several", F.col("id").alias("a"), F.col("bag").alias("ba")))
+    offer = keyed(lambda lexicon, bag, initials: _offered(list(bag), list(initials), lexicon), "several boolean", ["id", "bag", "initials"])
+    own = cut(records.join(settled, F.col("id") == F.col("node")).select("id", "bag", "component", F.array_distinct(F.filter(F.flatten("plain"), lambda w: (F.length(w) == 1) & ~w.rlike("[0-9]"))).alias("letters")))
+    fitting = None
+    changed = settled.select("component").distinct()
+    while True:  # each further round joins two profiles at least
+        # profiles that have grown are blocked anew, each record with the initials of all; letters are few
+        united = own.join(changed, "component", "left_semi").groupBy("component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("letters")))).alias("initials"))
+        offered = offer(own.join(united, "component")).select("key", "several", F.col("id").alias("b"), F.col("bag").alias("bb"))
+        met = asked.join(offered, ["key", "several"]).select("a", "b", "several", "ba", "bb").distinct().where(F.col("several") | fits("ba", "bb")).select("a", "b")
+        fitting = cut(met if fitting is None else fitting.unionByName(met).distinct())
+        at = own.select("id", "component")
+        sides = fitting.join(at.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").join(at.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
         # an initial is taken where all full forms that it fits are one profile by now
-        full_side = open_.join(settled.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").join(settled.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
-        profile = full_side.where("ca != cb").groupBy("ca").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("lo = hi").select(F.col("ca").alias("a"), F.col("lo").alias("b"))
-        more = cut(profile)
+        more = cut(sides.groupBy("ca").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("lo = hi and lo != ca").select(F.col("ca").alias("a"), F.col("lo").alias("b")))
         if not more.limit(1).count():
             break
-        edges = cut(edges.unionByName(more))
-    return bagged.join(settled, bagged["id"] == settled["node"]).select("name", F.col("component").alias("entity"))
+        moved = cut(components(more))
+        own = cut(own.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("id", "bag", F.coalesce("to", "component").alias("component"), "letters"))
+        changed = moved.select("component").distinct()
+    return bagged.join(own.select("id", F.col("component").alias("entity")), "id").select("name", "entity")
 
 
 def _fits(a: list[str], b: list[str]) -> bool:
@@ -257,7 +294,7 @@ def _fits(a: list[str], b: list[str]) -> bool:
 
 
 def spelling_pairs(names: DataFrame, name: str = "name") -> DataFrame:
-    """Columns ``publisher_a, publisher_b`` (a < b): pairs of different spellings of one entity."""
+    """Columns ``publisher_a, publisher_b`` (a < b): :func:`spellings` written out as all pairs of different spellings of one entity, which only a report needs."""
     one = cut(spellings(names, name))
     a, b = one.select("entity", F.col("name").alias("publisher_a")), one.select("entity", F.col("name").alias("publisher_b"))
     return a.join(b, "entity").where("publisher_a < publisher_b").select("publisher_a", "publisher_b")

@@ -20,13 +20,17 @@ def information(rate: Column, tfn: Column | float = 1.0) -> Column:
     return F.log2(1 + rate) + tfn * F.log2((1 + rate) / rate)
 
 
-def _postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    source = df.select(F.col(key).alias("k"), words(F.col(text)).alias("ws"), F.monotonically_increasing_id().alias("row")).where(F.col("k").isNotNull())
-    return (
-        source.select("k", F.size("ws").alias("len"), F.explode("ws").alias("term"), "row")
-        .groupBy("k", "term", "row").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-        .groupBy("k", "term").agg(F.max("tf").alias("tf"), F.max("len").alias("len"))
-    )
+def _postings(df: DataFrame, key: str, text: str, hashed: bool = False) -> DataFrame:
+    """A row for each record and word: ``k, term, tf, len``; with the key as a number where only words are counted."""
+    source = df.where(F.col(key).isNotNull()).select((F.xxhash64(key) if hashed else F.col(key)).alias("k"), words(F.col(text)).alias("ws"), F.monotonically_increasing_id().alias("row"))
+    # one shuffle serves both sums
+    each = source.select("k", F.size("ws").alias("len"), F.explode("ws").alias("term"), "row").repartition("k", "term")
+    return each.groupBy("k", "term", "row").agg(F.count("*").alias("tf"), F.first("len").alias("len")).groupBy("k", "term").agg(F.max("tf").alias("tf"), F.max("len").alias("len"))
+
+
+def _word_stats(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Columns ``term, df, total``: records that hold a word, and its occurrences in them."""
+    return cut(_postings(df, key, text, True).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
 
 
 def _totals(df: DataFrame, key: str, text: str) -> tuple[Column, Column]:
@@ -57,7 +61,7 @@ def distinctiveness(df: DataFrame, key: str = "id", text: str = "title_norm", c:
     """
     records, average = _totals(df, key, text)
     posting = _postings(df, key, text)
-    stats = cut(posting.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
+    stats = _word_stats(df, key, text)
     return _scored(salted_join(posting, stats, ["term"], "df", ["k"], hot=hot), records, average, c, key)
 
 
@@ -70,7 +74,7 @@ def distinctive(df: DataFrame, key: str = "id", text: str = "title_norm", least:
     """
     records, average = _totals(df, key, text)
     posting = _postings(df, key, text)
-    stats = cut(posting.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
+    stats = _word_stats(df, key, text)
     told = information(F.col("df") / records)
     near = 1e-12  # the same sums, so equal but for rounding
     kept = stats.where((told >= information(F.lit(float(most)) / records) - near) & (told <= information(F.lit(float(least)) / records) + near))

@@ -48,3 +48,15 @@ def test_slips_and_edits():
     assert not entities.slips("abcd", "abed") and not entities.slips("abcd", "abcd")
     assert entities.edits("courier", "currier", 2) == 2 and entities.edits("a", "abcd", 2) == 3
     assert entities.name_words("www.a-b.example") == ["a", "b"] and entities.name_words("Int'l O’Neil") == ["intl", "oneil"]
+
+
+def test_grown_profiles_are_blocked_anew(spark):
+    """Ted's middle initial joins Edward's profile in one round, and only then does the profile answer to both initials."""
+    rows = ["Edward Harrow", "Ted T. Harrow", "E. T. Harrow", "Edward Harlow", "E. P. Harrow"]
+    got = {r["name"]: r["entity"] for r in entities.spellings(spark.createDataFrame([(n,) for n in rows], "name string")).collect()}
+    assert got["E. T. Harrow"] == got["Edward Harrow"] == got["Ted T. Harrow"] and len(set(got.values())) == 3
+    without = {r["name"]: r["entity"] for r in entities.spellings(spark.createDataFrame([(n,) for n in rows if n != "Ted T. Harrow"], "name string")).collect()}
+    assert without["E. T. Harrow"] != without["Edward Harrow"]
+    both = [*rows, "Elias Harrow", "Elias T. Harrow"]  # Elias answers to the initials before Edward does
+    got = {r["name"]: r["entity"] for r in entities.spellings(spark.createDataFrame([(n,) for n in both], "name string")).collect()}
+    assert got["E. T. Harrow"] == got["Elias Harrow"] != got["Edward Harrow"]

@@ -116,3 +116,40 @@ def test_raw_slots():
     """A slot in angle brackets is one without any other sign; markup in capitals is none."""
     assert residue.holds_slot("<HEADLINE>") and residue.holds_slot("<p>By <AUTHOR>.</p>")
     assert not residue.holds_slot("<DIV>Owls</DIV>") and not residue.holds_slot("<P>Owls</P>")
+
+
+def report(rng, n=5, words=60):
+    return [f"<p>{' '.join(rng.choice(['owl', 'mill', 'tower', 'keeper', 'rope', 'bell', 'stone', 'field', 'water']) + rng.choice(['s', '', 'ing', 'ed']) for _ in range(words))}.</p>" for _ in range(n)]
+
+
+def test_host_classes_decide(spark):
+    """A notice as long as a paragraph is furniture by its host's class alone, and an article that a host repeats whole is none."""
+    rng = random.Random(2)
+    notice = "<p>" + " ".join(f"clause{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(70)) + " as of {}.</p>"
+    rows = [(f"n{i:03d}", "Tarn Daily", "T", "\n".join([*report(rng), notice.format(i)])) for i in range(90)]
+    again = "\n".join(report(rng))
+    rows += [(f"r{i:03d}", "Mill Post", "T", again) for i in range(60)] + [(f"p{i:03d}", "Mill Post", "T", "\n".join(report(rng))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, site_name string, title string, content string").withColumn("excerpt", F.lit(None).cast("string"))
+    line = pages.lines(df).cache()
+    off = lambda hosts, hot: {(r["k"], r["no"]) for r in pages.judged(line, hosts, hot).where(F.col("template") >= pages.OUTSIDE).collect()}
+    expected = {(f"n{i:03d}", 5) for i in range(90)}
+    assert off(True, 500_000) == expected and off(True, 10) == expected and off(False, 10) == set()
+
+
+def test_occurrence_vectors(spark):
+    """Forms of one vector are a class if their order is the same on all pages; the vote of a page counts once for a class."""
+    rows = [(f"k{i}", 0, 11, True) for i in range(4)] + [(f"k{i}", 1, 12, True) for i in range(4)]  # one class in order
+    rows += [(f"k{i}", 2 + i % 2, 21, False) for i in range(4)] + [(f"k{i}", 3 - i % 2, 22, True) for i in range(4)]  # the same vector as well, so out of order
+    rows += [(f"m{i}", 0, 31, True) for i in range(5)] + [(f"m{i}", 1, 31, False) for i in range(2)] + [("m9", 0, 41, True), ("m8", 0, 41, True)]
+    line = spark.createDataFrame(rows, "k string, no bigint, k0 bigint, outside boolean")
+    assert {r["class"]: (r["out"], r["n"]) for r in pages.host_classes(line).collect()} == {31: (pytest.approx(5 * 5 / 7), 5)}
+    ordered = line.where("k0 not in (21, 22)")
+    got = {r["class"]: (r["out"], r["n"]) for r in pages.host_classes(ordered, hot=2).collect()}
+    assert got == {11: (4.0, 4), 12: (4.0, 4), 31: (pytest.approx(5 * 5 / 7), 5)}
+
+
+def test_paragraphs_have_the_language_s_length(spark):
+    rng = random.Random(3)
+    rows = [(f"e{i}", "\n".join(report(rng, 3, 60)), "en-GB") for i in range(30)] + [(f"z{i}", "\n".join(report(rng, 3, 8)), "ZH") for i in range(30)]
+    words = pages.vocabulary(spark.createDataFrame(rows, "id string, content string, lang string"))
+    assert words.least_words("en") == 30 and words.least_words("zh") == 4 and words.least_words("xx") in (4, 30)
