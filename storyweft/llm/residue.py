@@ -30,9 +30,16 @@ CAPITAL, CLOSED = re.compile(r"<[A-Z]").search, re.compile(r"</([A-Z]+)>")
 KEPT = re.compile(r"<(?![%/A-Z][A-Z_]*[%>])[^>]*>")
 
 
+def _may_hold_slot(t: str) -> bool:
+    """Whether a text has what every slot of SLOTS has, as it stands or escaped."""
+    if "{" in t or "[" in t or "<%" in t or "%%" in t or "@@" in t or "__" in t or "XX_" in t or "TK" in t or CAPITAL(t):
+        return True
+    return "&" in t and ("&l" in t or "&#" in t or "&commat;" in t or "&percnt;" in t or "&num;" in t or "&dollar;" in t)
+
+
 def holds_slot(text: str | None) -> bool:
     """Whether a title or content holds an unfilled slot; markup as such is none."""
-    if not text or not any(c in text for c in "{%@_[&") and "TK" not in text and not CAPITAL(text):
+    if not text or not _may_hold_slot(text):
         return False
     if closed := set(CLOSED.findall(text)):  # markup in capitals
         text = re.sub(f"<(?:{'|'.join(sorted(closed))})>", " ", text)
@@ -83,9 +90,9 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
 
     kind = source.schema["k"].dataType.simpleString()
     first = source.mapInPandas(own, f"k {kind}, slot boolean, filler boolean").groupBy("k").agg(F.max("slot").alias("slot"), F.max("filler").alias("filler"))
-    judged = lines if lines is not None else classified(articles, key=key, site=site, content=content, words=words, title=title)
+    judged = lines if lines is not None else classified(articles, False, key=key, site=site, content=content, words=words, title=title)
     bare = judged.where("bare and no >= 0").groupBy("k").agg(
-        F.max("whole").alias("most"), F.sum(((F.col("template") < OUTSIDE) & (F.col("whole") < CONTENT)).cast("int")).alias("ordinary")
+        F.max("whole").alias("most"), F.sum(((F.col("shared") < OUTSIDE) & (F.col("whole") < CONTENT)).cast("int")).alias("ordinary")
     )
     pages = bare.where((F.col("most") >= WHOLE) | ((F.col("ordinary") == 0) & (F.col("most") >= LIKELY))).select("k", F.lit(True).alias("whole_page"))
     left = judged.where("open").select("k", F.lit(True).alias("left"))
