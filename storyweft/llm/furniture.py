@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyweft.llm.pages import OUTSIDE, classified, vocabulary
-from storyweft.llm.residue import residue
+from storyweft.llm.residue import residue, told
 
 
 def furniture(articles: DataFrame, key: str = "id", site: str = "site_name", content: str = "content", excerpt: str = "excerpt", title: str = "title") -> DataFrame:
@@ -17,7 +17,7 @@ def furniture(articles: DataFrame, key: str = "id", site: str = "site_name", con
     with one key one counts; null keys are left out, other columns are not read, an empty table gives an empty result.
     """
     words = vocabulary(articles, content)
-    judged = classified(articles, key=key, site=site, content=content, excerpt=excerpt, words=words, title=title)
+    judged = classified(articles, key=key, site=site, content=content, excerpt=excerpt, words=words, title=title, told=told)
     broken = residue(articles, key, title, content, site, lines=judged, words=words).select(F.col(key).alias("k"))
     return judged.where(F.col("template") >= OUTSIDE).join(broken, "k", "left_anti").select(F.col("k").alias(key), F.col("no").alias("line_no"))
 
@@ -25,7 +25,7 @@ def furniture(articles: DataFrame, key: str = "id", site: str = "site_name", con
 def main_text(articles: DataFrame, key: str = "id", site: str = "site_name", content: str = "content", excerpt: str = "excerpt", title: str = "title") -> DataFrame:
     """Columns ``key, content``: the main body of each article, its own lines in order; records that are residue are left out."""
     words = vocabulary(articles, content)
-    judged = classified(articles, key=key, site=site, content=content, excerpt=excerpt, words=words, title=title)
+    judged = classified(articles, key=key, site=site, content=content, excerpt=excerpt, words=words, title=title, told=told)
     broken = residue(articles, key, title, content, site, lines=judged, words=words).select(F.col(key).alias("k"))
     off = judged.where((F.col("template") >= OUTSIDE) & (F.col("no") >= 0)).groupBy("k").agg(F.collect_set("no").alias("off"))  # a page's own lines
     one = articles.select(F.col(key).alias("k"), F.col(content).alias("content")).where("k is not null").dropDuplicates(["k"])

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyweft.llm.pages import OUTSIDE, Vocabulary, classified, visible_lines, vocabulary
+from storyweft.llm.pages import OUTSIDE, classified
 
 WHOLE, LIKELY = 0.4, 0.1  # share of a line's class on pages without a paragraph: of an error template; of what may be one
 CONTENT = 0.12  # and the share under which a line is ordinary content
@@ -54,6 +52,19 @@ def _few_words(w: list[str]) -> bool:
     return 2 * sum(len(set(p)) < FILLER_DISTINCT * len(p) for p in parts) > len(parts)
 
 
+def told(title: str | None, content: str | None, shown: list[str], usual: frozenset[str]) -> tuple[bool, bool]:
+    """Whether a record holds a slot as template languages write it or nothing but stray values, and whether a long line of it is filler."""
+    slot = bool(shown) and all(map(STRAY.fullmatch, shown)) or bool(title) and bool(STRAY.fullmatch(title.strip())) or holds_slot(title) or holds_slot(content)
+    filler = False
+    for v in shown:
+        if v.count(" ") + 1 >= FILLER_WORDS:
+            w = v.casefold().split(" ")
+            if sum(map(usual.__contains__, w)) < FILLER_SHARE * len(w) or _few_words(w):
+                filler = True
+                break
+    return slot, filler
+
+
 def residue(articles: DataFrame, key: str = "id", title: str = "title", content: str = "content", site: str = "site_name", lines: DataFrame | None = None, words: dict[str, bool] | None = None) -> DataFrame:
     """Columns ``key, slot, filler, whole_page``: records whose title or content isn't a real report, and why.
 
@@ -62,40 +73,18 @@ def residue(articles: DataFrame, key: str = "id", title: str = "title", content:
     a long line of words that other records don't use, or of few words over and over. ``whole_page``: records are aligned line by line (``classified``);
     a line class found on records without any paragraph for the most part is an error template, and a record of such
     lines with no paragraph is an error page. A report that mentions such words, or whose furniture asks for scripts, has
-    paragraphs and no slot.
+    paragraphs and no slot. ``lines`` may be given as ``classified`` with :func:`told`.
 
-    Null titles and contents hold nothing; empty contents are not cases by themselves. Of rows with one key any that is a case makes it
-    one. Null keys are left out, other columns are not read, an empty table gives an empty result.
+    Null titles and contents hold nothing; empty contents are not cases by themselves. Of rows with one key one
+    counts. Null keys are left out, other columns are not read, an empty table gives an empty result.
     """
-    source = articles.select(F.col(key).alias("k"), F.col(title).alias("title"), F.col(content).alias("content")).where("k is not null")
-    words = vocabulary(articles, content) if words is None else words
-    shared = articles.sparkSession.sparkContext.broadcast(words.usual if isinstance(words, Vocabulary) else frozenset(w for w, usual in words.items() if usual))
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        usual = shared.value
-        for pdf in batches:
-            slot, filler = [], []
-            for t, c in zip(pdf["title"], pdf["content"]):
-                shown = [v for _, _, v in visible_lines(c)]
-                stray = bool(shown) and all(STRAY.fullmatch(v) for v in shown) or bool(t) and bool(STRAY.fullmatch(t.strip()))
-                slot.append(stray or holds_slot(t) or holds_slot(c))
-                odd = False
-                for v in shown:
-                    if v.count(" ") + 1 >= FILLER_WORDS:
-                        w = v.casefold().split(" ")
-                        odd = odd or _few_words(w) or sum(map(usual.__contains__, w)) < FILLER_SHARE * len(w)
-                filler.append(odd)
-            out = pdf[["k"]].assign(slot=slot, filler=filler)
-            yield out[out["slot"] | out["filler"]]
-
-    kind = source.schema["k"].dataType.simpleString()
-    first = source.mapInPandas(own, f"k {kind}, slot boolean, filler boolean").groupBy("k").agg(F.max("slot").alias("slot"), F.max("filler").alias("filler"))
-    judged = lines if lines is not None else classified(articles, False, key=key, site=site, content=content, words=words, title=title)
+    judged = lines if lines is not None else classified(articles, False, key=key, site=site, content=content, words=words, title=title, told=told)
+    own = judged.where("slot is not null").groupBy("k").agg(F.max("slot").alias("slot"), F.max("filler").alias("filler"))
     bare = judged.where("bare and no >= 0").groupBy("k").agg(
         F.max("whole").alias("most"), F.sum(((F.col("shared") < OUTSIDE) & (F.col("whole") < CONTENT)).cast("int")).alias("ordinary")
     )
     pages = bare.where((F.col("most") >= WHOLE) | ((F.col("ordinary") == 0) & (F.col("most") >= LIKELY))).select("k", F.lit(True).alias("whole_page"))
     left = judged.where("open").select("k", F.lit(True).alias("left"))
     false = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    first = first.join(left, "k", "full_outer").withColumn("slot", F.coalesce(F.col("slot"), F.lit(False)) | F.coalesce(F.col("left"), F.lit(False)))
+    first = own.join(left, "k", "full_outer").withColumn("slot", F.coalesce(F.col("slot"), F.lit(False)) | F.coalesce(F.col("left"), F.lit(False)))
     return first.join(pages, "k", "full_outer").select(F.col("k").alias(key), false("slot"), false("filler"), false("whole_page"))
