@@ -72,18 +72,17 @@ def write_ups(members: DataFrame) -> DataFrame:
     """Columns ``story, id, write_up``: members of a story that share a headline or a publisher, transitively, are one write-up.
 
     Least labels are exchanged over the two kinds of groups until none changes; every exchange is a window over
-    (story, headline) and (story, publisher).
+    (story, headline) and (story, publisher). Each further round lowers a label, so it ends, without a bound on its rounds.
     """
     state = cut(members.select("story", "id", "title_norm", publisher_key(F.col("publisher")).alias("pk"), F.col("id").alias("label")))
-    for _ in range(64):
+    while True:
         by_title, by_publisher = Window.partitionBy("story", "title_norm"), Window.partitionBy("story", "pk")
         after = state.withColumn("next", F.min("label").over(by_title)).withColumn("next", F.min("next").over(by_publisher)).withColumn("next", F.min("next").over(by_title))
         after = cut(after)
         changed = after.where("next != label").limit(1).count()
         state = after.drop("label").withColumnRenamed("next", "label")
         if not changed:
-            break
-    return state.select("story", "id", F.col("label").alias("write_up"))
+            return state.select("story", "id", F.col("label").alias("write_up"))
 
 
 def ugly(title: Column) -> Column:

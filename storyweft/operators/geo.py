@@ -9,13 +9,21 @@ from pyspark.sql.window import Window
 from storyweft.operators.rules import Rule, words
 from storyweft.schema import PLACE_KINDS, ordinal
 
-RUN = r"[A-ZÀ-Þ][\w'’.-]+(?:\s+[A-ZÀ-Þ][\w'’.-]+){0,3}"
+NAME = r"\p{Lu}[\w'’.-]*"
+RUN = rf"{NAME}(?:\s+(?:(?:of|de|upon|on|the)\s+)?{NAME}){{0,3}}"
+PLAIN = r"\p{Lu}[\w.-]*"  # without apostrophes, which a possessive begins with
+BEAT = r"(?:bigfoot|sasquatch|yeti|ufos?|uaps?|ghosts?|haunt\w*|poltergeist|monster|beast|creature|cryptid|sighting|encounter|mystery|lights?|residents|mill|villagers)"
 EXTRACTORS = [
-    rf"\b(?:in|at|near|over|above|from|of|to|past|outside|around|beside)\s+({RUN})",
-    rf"({RUN}),\s+(?:{RUN})",
-    rf"^({RUN})\s+(?:ghost|sighting|haunting|beast|residents|mill|museum|council|police|villagers)\b",
-    rf"({RUN})['’]s\b",
+    rf"\b(?:in|over|above|near|at|across|around|outside|off|through|along|beneath|under|from|of|to|past|beside)\s+(?:the\s+)?({RUN})",
+    rf"({RUN}),\s*({RUN})",
+    rf"^((?:{PLAIN}\s+){{0,2}}{PLAIN})(?:['’]s)?\s+(?i:{BEAT})\b",
+    rf"\b((?:{PLAIN}\s+){{0,2}}{PLAIN})['’]s\s+(?i:{BEAT})\b",
 ]
+PAIR = 1  # the extractor whose second name must be a place as well
+# A headline reports something that happened, and isn't about a body that carries a place's name, nor a review.
+EVENT = r"(?i)\b(?:sight(?:ing|ed|ings)|spotted|seen|saw|witness\w*|encounter\w*|filmed|footage|reported|reports?|appear(?:s|ed)|hover\w*|flew|flying|crash\w*|land(?:s|ed|ing)|tracks?|tracked|prints?|footprints?|growls?|creature|craft|object|orbs?|lights?|figure|monster|beast|beam|discs?|haunt\w*|apparition|found|discovered|uncovers|hunts?|search\w*|investigat\w+|claims?|debris|villagers|radar|returns?|rose|vanish\w*|ring)\b"
+BODY = r"(?i)\b(?:daily record|gazette|herald|tribune|chronicle|sentinel|dispatch|university|college|institute|society|association|library|airport|police department|fire department|congress|parliament)\b"
+CRITICISM = r"(?i)\b(?:debunk\w*|skeptics?|sceptics?|hoax(?:es|ed)?|starring|recap)\b|\breview\b\s*[–—|:-]|[–—|]\s*review\b"
 MISLEADING = ["may", "march", "august", "orb", "drone", "mercury", "reading", "nice"]
 
 
@@ -48,9 +56,15 @@ def precedence(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
 
 
 def candidates(df: DataFrame, title: str = "title") -> DataFrame:
-    """``df`` with a row for each candidate name of its headline: ``extractor``, ``place_at`` and ``run``."""
-    found = F.concat(*(F.transform(F.regexp_extract_all(F.col(title), F.lit(p), 1), lambda r, k=k: F.struct(F.lit(k).alias("extractor"), r.alias("run"))) for k, p in enumerate(EXTRACTORS)))
-    return df.select("*", F.posexplode(found).alias("place_at", "__c")).select("*", "__c.extractor", "__c.run").drop("__c")
+    """``df`` with a row for each candidate name of its headline: ``extractor``, ``place_at``, ``run``, and ``beside``, the name that must be a place too."""
+
+    def by(extractor: int, pattern: str) -> Column:
+        of = lambda group: F.regexp_extract_all(F.col(title), F.lit(pattern), F.lit(group))
+        second = of(2) if extractor == PAIR else F.array().cast("array<string>")
+        return F.transform(F.arrays_zip(of(1).alias("run"), second.alias("beside")), lambda x: F.struct(F.lit(extractor).alias("extractor"), x["run"].alias("run"), x["beside"].alias("beside")))
+
+    found = [by(k, p) for k, p in enumerate(EXTRACTORS)]
+    return df.select("*", F.posexplode(F.concat(*found)).alias("place_at", "__c")).select("*", "__c.extractor", "__c.run", "__c.beside").drop("__c")
 
 
 def resolve(runs: DataFrame, places: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
@@ -67,33 +81,38 @@ def resolve(runs: DataFrame, places: DataFrame, keys: list[str], run: str = "run
 
 
 def locate(df: DataFrame, places: DataFrame, key: str = "id", title: str = "title", body: str | None = None, implied: list[Rule] | None = None) -> DataFrame:
-    """Columns ``key, name, lat, lon, kind, matched, provenance``: where each headline is, if anywhere.
+    """Columns ``key, name, admin, lat, lon, kind, matched, provenance``: where each headline is, if anywhere.
 
-    Of the headline's candidates the one of the lowest kind, the first of equal ones; else the place that a rule implies;
-    else the dateline of the body. A criticism of a report has no place; an organisation's name implies none.
+    Of the candidates of a headline that reports an event the one of the lowest kind, the first of equal ones; else the place that the
+    first of the ``implied`` rules names; else the dateline of the body. A criticism of a report has no place; the name of a
+    body says nothing of one.
     """
     text = F.col(title)
-    critic = text.rlike(r"(?i)\b(?:debunk\w*|skeptics?|sceptics?|hoax(?:es|ed)?)\b")
-    body_name = text.rlike(r"(?i)\b(?:society|association|institute|university)\b")
-    base = df.where(~F.coalesce(critic, F.lit(False)))
-    runs = candidates(base.select(key, title), title)
-    met = resolve(runs.select(key, "extractor", "place_at", "run"), places, [key, "extractor", "place_at"])
-    shape = lambda: F.struct("name", "lat", "lon", "kind", "matched")
+    critic, body_name = F.coalesce(text.rlike(CRITICISM), F.lit(False)), F.coalesce(text.rlike(BODY), F.lit(False))
+    base = df.where(~critic)
+    event = base.where(F.coalesce(text.rlike(EVENT), F.lit(False)) & ~body_name)
+    runs = candidates(event.select(key, title), title)
+    keys = [key, "extractor", "place_at"]
+    met = resolve(runs.select(*keys, "run"), places, keys)
+    # of a pair the first counts if both are places, and it is no country
+    beside = resolve(runs.where("beside is not null").select(*keys, F.col("beside").alias("run")), places, keys).select(*keys, F.lit(True).alias("__both"))
+    met = met.join(beside, keys, "left").where((F.col("extractor") != PAIR) | (F.coalesce("__both", F.lit(False)) & (F.col("kind") != "country"))).drop("__both")
+    shape = lambda: F.struct("name", "admin", "lat", "lon", "kind", "matched")
     head = met.groupBy(key).agg(F.min_by(shape(), F.struct(ordinal(F.col("kind"), PLACE_KINDS).alias("k"), "extractor", "place_at")).alias("x")).select(key, "x.*", F.lit("headline").alias("provenance"), F.lit(0).alias("way"))
     out = head
     if implied:
         from storyweft.operators.rules import first_match
 
-        said = base.where(~F.coalesce(body_name, F.lit(False))).select(key, F.lower(first_match(text, implied)).alias("key")).where("key is not null")
-        out = out.unionByName(said.join(places, "key").select(key, "name", "lat", "lon", "kind", F.col("name").alias("matched"), F.lit("implied").alias("provenance"), F.lit(1).alias("way")))
+        said = base.where(~body_name).select(key, F.lower(first_match(text, implied)).alias("key")).where("key is not null")
+        out = out.unionByName(said.join(places, "key").select(key, "name", "admin", "lat", "lon", "kind", F.col("name").alias("matched"), F.lit("implied").alias("provenance"), F.lit(1).alias("way")))
     if body:
         opening = F.left(F.regexp_replace(F.col(body), "<[^>]+>", " "), F.lit(160))
         pattern = r"^\s*([A-Z][A-Z .'-]+)(?:,\s+([A-Z][\w .]+?))?\s*(?:\([A-Z][\w ./]*\))?\s*[—–-]\s"
         city, region = F.initcap(F.lower(F.trim(F.regexp_extract(opening, pattern, 1)))), F.trim(F.regexp_extract(opening, pattern, 2))
         lines = base.select(key, F.posexplode(F.array(city, region)).alias("o", "n")).where("n is not null and n != ''").select(key, "o", F.lower("n").alias("key"))
-        placed = lines.join(places, "key").groupBy(key).agg(F.min_by(F.struct("name", "lat", "lon", "kind"), "o").alias("x"))
+        placed = lines.join(places, "key").groupBy(key).agg(F.min_by(F.struct("name", "admin", "lat", "lon", "kind"), "o").alias("x"))
         out = out.unionByName(placed.select(key, "x.*", F.col("x.name").alias("matched"), F.lit("dateline").alias("provenance"), F.lit(2).alias("way")))
-    best = out.groupBy(key).agg(F.min_by(F.struct("name", "lat", "lon", "kind", "matched", "provenance"), "way").alias("x"))
+    best = out.groupBy(key).agg(F.min_by(F.struct("name", "admin", "lat", "lon", "kind", "matched", "provenance"), "way").alias("x"))
     return best.select(key, "x.*")
 
 

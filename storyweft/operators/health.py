@@ -82,3 +82,13 @@ def due(ids: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
     """Rows of ``ids`` that were never tried, or whose next try is due."""
     a = attempts.select("id", F.col("final").alias("__f"), F.col("next_attempt_at").alias("__n"), F.lit(True).alias("__t"))
     return ids.join(a, "id", "left").where(F.col("__t").isNull() | (~F.col("__f") & (F.col("__n").isNull() | (F.col("__n") <= now)))).drop("__f", "__n", "__t")
+
+
+def listed(health: DataFrame, sources: DataFrame) -> DataFrame:
+    """Health rows of sources that the registry still has."""
+    return health.join(sources.select("id").distinct(), "id", "left_semi")
+
+
+def open_attempts(attempts: DataFrame, items: DataFrame, articles: DataFrame) -> DataFrame:
+    """Attempts at items that are still kept and have no article yet; all others are forgotten."""
+    return attempts.join(items.select("id").distinct(), "id", "left_semi").join(articles.select("id").distinct(), "id", "left_anti")

@@ -11,7 +11,7 @@ from storyweft.schema import HIDDEN_FLAGS, TOPICS
 
 def by_score(df: DataFrame) -> DataFrame:
     """Best score first, then latest, then id."""
-    return df.orderBy(F.desc("score"), F.desc("latest_published"), "id")
+    return df.orderBy(F.desc_nulls_last("score"), F.desc("latest_published"), "id")
 
 
 def visible(flags: Column) -> Column:
@@ -48,7 +48,7 @@ def interleave(stories: DataFrame, topic: str = "topic", rank: str = "rank", run
 def top_per_topic(stories: DataFrame, k: int = 8) -> DataFrame:
     """Columns ``topic, place`` and the story's: the best ``k`` of each topic."""
     each = stories.withColumn("topic", F.explode("topics"))
-    w = Window.partitionBy("topic").orderBy(F.desc("score"), F.desc("latest_published"), "id")
+    w = Window.partitionBy("topic").orderBy(F.desc_nulls_last("score"), F.desc("latest_published"), "id")
     return each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 

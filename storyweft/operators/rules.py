@@ -92,6 +92,10 @@ FLAG_RULES = {
 }
 
 
+# Serial fiction and its followers, which no reading makes news.
+OFF_TOPIC = [r"\b(anime|manga|isekai|manhwa|webtoon|light novel|k-?drama|episode [0-9]+|ep\.? ?[0-9]+|chapter [0-9]+|season [0-9]+ episode)\b"]
+
+
 def classify_flags(title: Column) -> Column:
     """Flags of a headline in a fixed order."""
     gathering = rescued(title, words("fair", "festival", "convention", "club"), words("police", "constable", "inquest"), hard=words("expo"))
@@ -116,3 +120,12 @@ def publisher_tier(df: DataFrame, publisher: str, exact: DataFrame, patterns: li
     keyed = df.withColumn("__key", publisher_key(F.col(publisher)))
     joined = keyed.join(lookup.withColumnRenamed("publisher_key", "__key"), "__key", "left")
     return joined.withColumn(out, F.coalesce("__exact", first_match(F.col(publisher), patterns), F.lit(default))).drop("__key", "__exact")
+
+
+def publisher_in(df: DataFrame, publisher: str, keys: DataFrame | None, patterns: tuple[str, ...] = (), out: str = "listed") -> DataFrame:
+    """``df`` with whether its publisher is listed: by exact key (``publisher_key`` of ``keys``) or by a pattern; false for null."""
+    named = any_of(F.col(publisher), list(patterns))
+    if keys is None:
+        return df.withColumn(out, named)
+    listed = keys.select(F.col("publisher_key").alias("__key")).distinct().withColumn("__listed", F.lit(True))
+    return df.withColumn("__key", publisher_key(F.col(publisher))).join(listed, "__key", "left").withColumn(out, F.coalesce("__listed", F.lit(False)) | named).drop("__key", "__listed")

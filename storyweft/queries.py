@@ -272,10 +272,10 @@ def front_page(spark, sf_dir):
 
 @query
 def section_lists(spark, sf_dir):
-    return rank.top_per_topic(Views.load(spark, sf_dir).clusters.where("score is not null")).select("topic", "place", "id")
+    return rank.top_per_topic(Views.load(spark, sf_dir).clusters).select("topic", "place", "id")
 
 
-SQL["section_lists"] = f"SELECT topic, CAST(place AS INT) AS place, id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, latest_published DESC, id) AS place FROM (SELECT *, unnest(topics) AS topic FROM story WHERE {_WINDOW} AND NOT {_HIDDEN} AND score IS NOT NULL)) WHERE place <= 8"
+SQL["section_lists"] = f"SELECT topic, CAST(place AS INT) AS place, id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC NULLS LAST, latest_published DESC, id) AS place FROM (SELECT *, unnest(topics) AS topic FROM story WHERE {_WINDOW} AND NOT {_HIDDEN})) WHERE place <= 8"
 
 
 @query
@@ -329,7 +329,7 @@ SQL["primary_items"] = "WITH m AS (SELECT id, unnest(items) AS item, generate_su
 
 @query
 def coverage_lists(spark, sf_dir):
-    return Views.load(spark, sf_dir).coverage.select("story", "write_up", "item", "members", F.array_join("also", "; ").alias("also"), "more")
+    return Views.load(spark, sf_dir).coverage.select("story", "place", "write_up", "item", "members", F.array_join("also", "; ").alias("also"), "more")
 
 
 @query
@@ -424,18 +424,6 @@ def pin_offsets(spark, sf_dir):
 SQL["pin_offsets"] = "WITH p AS (SELECT c_custkey, CAST(c_custkey % 90 AS DOUBLE) AS lat, CAST(c_custkey % 60 AS DOUBLE) AS lon FROM customer), n AS (SELECT *, row_number() OVER (PARTITION BY round(lat, 3), round(lon, 3) ORDER BY c_custkey) - 1 AS n FROM p) SELECT c_custkey, round(CASE WHEN n = 0 THEN lat ELSE lat + (0.05 + 0.012 * n) * sin(fmod(n * 2.4, 6.283185307179586)) END, 6) AS pin_lat, round(CASE WHEN n = 0 THEN lon ELSE lon + (0.05 + 0.012 * n) * cos(fmod(n * 2.4, 6.283185307179586)) END, 6) AS pin_lon FROM n"
 
 
-@query
-def headline_places(spark, sf_dir):
-    """Headlines against a gazetteer of the towns that publishers are named after."""
-    town = F.regexp_extract("publisher", r"^([A-Z][a-z]+) (?:Chronicle|Mercury|Standard|Examiner|Observer|Courier|Gazette)\b", 1)
-    towns = table(spark, sf_dir, "item").select(town.alias("name")).where("name != ''").distinct()
-    near = F.regexp_extract_all("title", F.lit(r"\b(?:at|of|near|in|to)\s+([A-Z][a-z]+)"), 1)
-    named = table(spark, sf_dir, "item").select(F.explode(near).alias("name")).groupBy("name").count().where("count >= 20").select("name").union(towns).distinct()
-    spot = lambda m: F.pmod(F.xxhash64("name", F.lit(m)), F.lit(m * 1000)).cast("double") / 1000 - m / 2
-    places = geo.precedence(named.select("name", spot(180).alias("lat"), spot(360).alias("lon"), F.lit("city").alias("kind"), F.lit(None).cast("string").alias("admin"), F.lit("XX").alias("country")), F.lower("name"), [F.col("name")])
-    return geo.locate(merged(spark, sf_dir), places).select("id", "name", "matched", "provenance")
-
-
 # --- sources, health, retries ----------------------------------------------------------------------------------
 
 
@@ -491,21 +479,6 @@ def source_yield(spark, sf_dir):
 SQL["source_yield"] = "SELECT f.id, f.enabled, coalesce(entries, 0) AS entries, coalesce(links, 0) AS links, coalesce(items, 0) AS items FROM feed_source f LEFT JOIN (SELECT source_id AS id, count(*) AS entries, count(DISTINCT link) AS links FROM raw_entry GROUP BY 1) e USING (id) LEFT JOIN (SELECT feed_id AS id, count(DISTINCT item.id) AS items FROM item GROUP BY 1) i USING (id)"
 
 
-@query
-def status_board(spark, sf_dir):
-    sources = table(spark, sf_dir, "feed_source")
-    number = F.row_number().over(Window.orderBy("id"))  # a registry is small
-    states = health.fold_health(_polls(spark, sf_dir)).withColumnRenamed("id", "number")
-    named = states.join(sources.select("id", number.cast("string").alias("number")), "number").drop("number")
-    return Views.load(spark, sf_dir).status_board(named).select("id", "status", "consecutive_failures", "place")
-
-
-@query
-def job_queue(spark, sf_dir):
-    none = spark.createDataFrame([], schema.ATTEMPT)
-    return Views.load(spark, sf_dir).job_queue(none)
-
-
 @query
 def normalized_entries(spark, sf_dir):
     entries, sources = table(spark, sf_dir, "raw_entry"), table(spark, sf_dir, "feed_source")
@@ -607,7 +580,5 @@ SQL["json_rows"] = r"""SELECT '{' || array_to_string(list_filter(['"id":' || to_
 _ENCODED = "replace(replace(replace(replace(replace(url_encode(query || ' when:7d'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"
 SQL["source_urls"] = f"""SELECT id, CASE kind WHEN 'google-news' THEN 'https://news.google.com/rss/search?q=' || {_ENCODED} || '&hl=en-' || coalesce(edition, 'US') || '&gl=' || coalesce(edition, 'US') || '&ceid=' || coalesce(edition, 'US') || ':en'
     WHEN 'reddit' THEN 'https://oauth.reddit.com/r/' || array_to_string(subreddits, '+') || '/new?limit=50&raw_json=1' ELSE url END AS poll_url FROM feed_source WHERE enabled"""
-SQL["job_queue"] = f"""WITH i AS (SELECT id, coalesce(arg_min(url, {_BY}) FILTER (NOT url_opaque), arg_min(url, {_BY})) AS url, bool_and(url_opaque) AS op FROM item GROUP BY id),
-    c AS (SELECT id AS story, latest_published, unnest(items) AS id, generate_subscripts(items, 1) AS pos FROM story WHERE {_WINDOW} AND NOT {_HIDDEN}), d AS (SELECT story FROM c WHERE id IN (SELECT id FROM article)),
-    k AS (SELECT c.*, url FROM c JOIN i USING (id) WHERE story NOT IN (SELECT story FROM d) AND NOT op AND regexp_matches(url, '(?i)^https?://') AND NOT regexp_matches(url, '(?i)/(?:gallery|galleries|video|videos)/')),
-    f AS (SELECT story, max(latest_published) AS latest_published, arg_min(id, pos) AS id, arg_min(url, pos) AS url FROM k GROUP BY story) SELECT story, id, url, latest_published FROM f ORDER BY latest_published DESC, story LIMIT 40"""
+
+from storyweft import feed_queries, view_queries  # noqa: E402, F401 - they register their queries here

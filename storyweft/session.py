@@ -29,16 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: the one the cluster names in ``spark.checkpoint.dir``, or what the session was given.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests,
-    a laptop) a temporary one is made. The copy is on shared storage, so a lost executor loses nothing.
+    Only a session on this machine alone (tests, a laptop) gets a temporary one; on a cluster that would lie on one node, so
+    there it is an error that none is named.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"storyweft-{os.getpid()}"))
+    named = context._jsc.sc().getCheckpointDir()
+    if named.isDefined():
+        return named.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+    context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"storyweft-{os.getpid()}"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there: a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

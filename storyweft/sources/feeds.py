@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from storyweft.functions.text import url_encoded
+from storyweft.functions.text import truncate, url_encoded
 from storyweft.schema import EDITIONS, SOURCE, TIERS, TOPICS
 
 ENTRY = "title string, link string, published string, summary string, content string, image string, source struct<name:string,url:string>, guid string"
@@ -208,33 +208,97 @@ def parse_listing(bodies: DataFrame, key: str = "source_id", body: str = "body")
     return parsed.select("source_id", F.explode("x.data.children.data").alias("p")).where("p is not null").select("source_id", "p.*").where("title is not null and permalink is not null")
 
 
+# How a title begins that only asks.
+FRAGMENT = r"(?i)^(?:what|who|why|how|where|when|is|are|was|does|did|can|could|has|have|anyone|any|thoughts|help|need help|looking for|does anyone|can anyone)\b"
+MIN_SCORE, MIN_SELF_SCORE = 25, 250
+
+
 def carries_story(title: Column) -> Column:
-    """Whether a post's title has five words, and a number, a later capitalised word, or no opening of a bare question."""
+    """Whether a post's title has five words, and a number, a later capitalised word, or no opening that only asks."""
     words = F.split(F.trim(title), r"\s+")
-    named = title.rlike("[0-9]") | F.exists(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: w.rlike("^[A-Z][a-z]"))
-    question = title.rlike(r"(?i)^(?:what|why|how|has|have|is|are|does|do|did|can|could|anyone|who|where|when|should|would)\b")
-    return (F.size(words) >= 5) & (named | ~question)
+    named = title.rlike("[0-9]") | F.exists(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: w.rlike("^[A-Z][a-z]{2,}"))
+    return F.coalesce((F.size(words) >= 5) & (named | ~title.rlike(FRAGMENT)), F.lit(False))
+
 
+def keep_post(p: DataFrame, gates: DataFrame | None = None) -> DataFrame:
+    """Posts that carry a story, aren't pinned, adult, deleted or automatic, have a wanted flair, and a score that links or texts need.
 
-def keep_post(p: DataFrame, min_score: int = 25, min_self_score: int = 250, flairs: list[str] | None = None) -> DataFrame:
-    """Posts that aren't pinned, adult, deleted or automatic, have a wanted flair and a score of links or of texts."""
-    ok = ~F.coalesce("stickied", F.lit(False)) & ~F.coalesce("over_18", F.lit(False)) & ~F.coalesce(F.col("author").isin("AutoModerator", "[deleted]"), F.lit(False)) & ~F.coalesce(F.col("selftext").isin("[deleted]", "[removed]"), F.lit(False))
-    if flairs:
-        ok = ok & F.exists(F.lit([f.lower() for f in flairs]), lambda f: F.coalesce(F.lower("link_flair_text").contains(f), F.lit(False)))
-    return p.where(ok & (F.coalesce("score", F.lit(0)) >= F.when(F.coalesce("is_self", F.lit(False)), min_self_score).otherwise(min_score)))
+    ``gates`` has ``id, min_score, min_self_score, flairs`` of sources; null is the default, a post of an unknown source has the defaults.
+    """
+    if gates is None:
+        p = p.withColumns({"__link": F.lit(None).cast("int"), "__self": F.lit(None).cast("int"), "__flairs": F.array().cast("array<string>")})
+    else:
+        p = p.join(gates.select(F.col("id").alias("source_id"), F.col("min_score").alias("__link"), F.col("min_self_score").alias("__self"), F.col("flairs").alias("__flairs")), "source_id", "left")
+    ok = ~F.coalesce("stickied", F.lit(False)) & ~F.coalesce("over_18", F.lit(False)) & ~F.coalesce(F.col("author").isin("AutoModerator", "[deleted]"), F.lit(False))
+    flair = F.lower(F.coalesce("link_flair_text", F.lit("")))
+    wanted = (F.coalesce(F.size("__flairs"), F.lit(0)) <= 0) | F.exists("__flairs", lambda f: flair.contains(F.lower(f)))
+    least = F.when(F.coalesce("is_self", F.lit(False)), F.coalesce("__self", F.lit(MIN_SELF_SCORE))).otherwise(F.coalesce("__link", F.lit(MIN_SCORE)))
+    return p.where(ok & carries_story(F.col("title")) & F.coalesce(wanted, F.lit(True)) & (F.coalesce("score", F.lit(0)) >= least)).drop("__link", "__self", "__flairs")
 
 
 def post_entries(p: DataFrame) -> DataFrame:
-    """Posts as entries: links under their host's name, texts under their subreddit's."""
-    own = F.coalesce("is_self", F.lit(False)) | F.col("url").isNull()
-    link = F.when(own, F.concat(F.lit("https://www.reddit.com"), F.col("permalink"))).otherwise(F.col("url"))
-    text = F.left(F.trim(F.regexp_replace(F.coalesce("selftext", F.lit("")), r"\s+", " ")), F.lit(400))
+    """Posts as entries: links elsewhere under their host's name, all others under their subreddit's."""
+    away = ~F.coalesce("is_self", F.lit(False)) & F.coalesce(F.col("url").rlike("(?i)^https?://") & ~F.col("url").rlike(r"(?i)^https?://(?:www\.)?reddit\.com"), F.lit(False))
+    here = F.when(F.col("permalink").startswith("/"), F.concat(F.lit("https://www.reddit.com"), F.col("permalink"))).otherwise(F.col("permalink"))
+    board = F.concat(F.lit("r/"), F.col("subreddit"))
+    host = F.nullif(F.regexp_replace(F.coalesce("domain", F.lit("")), r"^self\.", ""), F.lit(""))
+    text = truncate(F.trim(F.regexp_replace(F.coalesce("selftext", F.lit("")), r"\s+", " ")), 400)
     return p.select(
-        "source_id", "title", link.alias("link"), F.date_format(F.timestamp_seconds(F.col("created_utc").cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"), F.nullif(text, F.lit("")).alias("summary"), F.lit(None).cast("string").alias("content"),
-        F.when(F.col("thumbnail").rlike("^https?://"), F.col("thumbnail")).alias("image"), F.struct(F.when(own, F.concat(F.lit("r/"), F.col("subreddit"))).otherwise(F.col("domain")).alias("name"), F.lit(None).cast("string").alias("url")).alias("source"), F.col("id").alias("guid"),
+        "source_id", "title", F.when(away, F.col("url")).otherwise(here).alias("link"), F.date_format(F.timestamp_seconds(F.col("created_utc").cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"), F.nullif(text, F.lit("")).alias("summary"), F.lit(None).cast("string").alias("content"),
+        F.when(F.col("thumbnail").rlike("^https?://"), F.col("thumbnail")).alias("image"), F.struct(F.when(away, F.coalesce(host, board)).otherwise(board).alias("name"), F.when(~away, F.concat(F.lit("https://www.reddit.com/"), board)).alias("url")).alias("source"), F.col("id").alias("guid"),
     )
 
 
+def permitted(sources: DataFrame, credentials: dict[str, str] | None) -> DataFrame:
+    """Sources that may be polled: listings need credentials (``client_id``, ``client_secret``); without them they are left out, which is no failure."""
+    given = bool(credentials and (credentials.get("client_id") or "").strip() and (credentials.get("client_secret") or "").strip())
+    return sources if given else sources.where("kind != 'reddit'")
+
+
+class TokenCache:
+    """A bearer token of the client-credentials kind, used until a minute before it ends; ``forget`` after a refusal.
+
+    ``ask`` takes address, headers and body and gives status and text. One cache serves one partition's requests.
+    """
+
+    def __init__(self, client_id: str, client_secret: str, agent: str, ask: Callable[[str, dict, str], tuple[int, str]], address: str = "https://www.reddit.com/api/v1/access_token", margin: float = 60.0):
+        self.basic = base64.b64encode(f"{client_id}:{client_secret}".encode()).decode()
+        self.agent, self.ask, self.address, self.margin = agent, ask, address, margin
+        self.value, self.until = None, 0.0
+
+    def forget(self) -> None:
+        self.value = None
+
+    def token(self, now: float) -> str:
+        if self.value is None or self.until <= now:
+            status, text = self.ask(self.address, {"Authorization": f"Basic {self.basic}", "Content-Type": "application/x-www-form-urlencoded", "User-Agent": self.agent}, "grant_type=client_credentials")
+            if not 200 <= status < 300:
+                raise OSError(f"token HTTP {status}")
+            body = json.loads(text)
+            if not body.get("access_token"):
+                raise OSError("no access_token")
+            self.value, self.until = body["access_token"], now + body.get("expires_in", 3600) - self.margin
+        return self.value
+
+
+def fetch_listing(url: str, tokens: TokenCache, get: Callable[[str, dict], tuple[int, dict, str]], now: float) -> tuple[int, str | None, str | None]:
+    """Status, body and error of one listing; a refused token is forgotten, and errors are returned, not raised."""
+    try:
+        status, _, body = get(url, {"Authorization": f"bearer {tokens.token(now)}", "User-Agent": tokens.agent, "Accept": "application/json"})
+    except (OSError, ValueError) as e:
+        return 0, None, str(e)
+    if 200 <= status < 300:
+        return status, body, None
+    if status == 401:
+        tokens.forget()
+    return status, None, f"HTTP {status}"
+
+
+def listing_entries(bodies: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Entries of listing bodies (``source_id, body``): parsed, the wanted posts of each source, as entries."""
+    return post_entries(keep_post(parse_listing(bodies), sources))
+
+
 # --- links of search feeds ------------------------------------------------------------------------------------
 
 
@@ -375,5 +439,5 @@ class _FeedReader(DataSourceReader):
                     status, found, body, error = 0, {}, None, str(e)
                 if error is None or 0 < status < 500 or attempt:
                     break
-                time.sleep(min(pause, 2.0))
+                time.sleep(float(self.options.get("retry_pause", 2.0)))
             yield s["id"], status, status == 304, found.get("etag"), found.get("last-modified"), body if error is None and status != 304 else None, error

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from xml.sax.saxutils import escape
 
@@ -32,10 +31,51 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTICLE).option("multiLine", True).option("pathGlobFilter", "[0-9a-f]" * 16 + ".json").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_state(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Health or attempt rows (``kind``) of a folder of JSON lines; no rows where there is no folder."""
     schema = {"health": HEALTH, "attempt": ATTEMPT}[kind]
-    return spark.read.schema(schema).json(path) if os.path.exists(re.sub("^file:", "", path)) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def read_conflict(spark: SparkSession, ours: str, theirs: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of day shards that two writers changed, each a folder of shards; a side without its folder has no items."""
+    side = lambda path: read_shards(spark, path) if exists(spark, path) else spark.createDataFrame([], ITEM)
+    return side(ours), side(theirs)
+
+
+def _names(schema: str) -> list[str]:
+    """Column names of a schema text."""
+    return [x.split()[0] for x in re.split(r", (?=[a-z_]+ )", schema)]
+
+
+def write_state(rows: DataFrame, path: str, kind: str) -> None:
+    """Health or attempt rows as JSON lines, keys in the order of the schema, sorted by id over all parts."""
+    names = _names({"health": HEALTH, "attempt": ATTEMPT}[kind])
+    rows.orderBy("id").select(json_lines_column(rows, names)).write.mode("overwrite").text(path)
+
+
+def write_articles(articles: DataFrame, path: str) -> None:
+    """Article records as JSON lines, keys in the order of the schema, a folder for each first digit of the id, sorted by id within; the latest of each id."""
+    names = _names(ARTICLE)
+    latest = articles.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*(n for n in names if n != "id")), "fetched_at").alias("x")).select("id", "x.*")
+    out = latest.select(F.left("id", F.lit(1)).alias("shard"), "id", json_lines_column(latest, names))
+    out.repartition("shard", F.substring("id", 2, 2)).sortWithinPartitions("shard", "id").drop("id").write.mode("overwrite").partitionBy("shard").text(path)
+
+
+def read_article_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_articles` wrote."""
+    return spark.read.schema(ARTICLE).json(path).select(*_names(ARTICLE))
+
+
+def write_images(images: DataFrame, path: str) -> None:
+    """Image bytes (``id, data``) by id in Parquet, a folder for each first digit."""
+    images.select(F.left("id", F.lit(1)).alias("shard"), "id", "data").repartition("shard", F.substring("id", 2, 2)).sortWithinPartitions("shard", "id").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def csv_cell(value: Column, number: bool = False) -> Column:
@@ -79,7 +119,7 @@ def json_lines(df: DataFrame) -> DataFrame:
 
 def write_shards(items: DataFrame, path: str) -> None:
     """JSON lines of items, a folder for each day, sorted by id, keys in the order of the schema."""
-    names = [x.strip().split()[0] for x in ITEM.split(", ")]
+    names = _names(ITEM)
     dated = items.withColumn("day", F.date_format("published_at", "yyyy-MM-dd")).select("day", "id", json_lines_column(items, names))
     dated.repartition("day").sortWithinPartitions("day", "id").drop("id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").text(path)
 
@@ -113,6 +153,20 @@ def quarantine_report(health: DataFrame, sources: DataFrame) -> DataFrame:
     return q.select("id", line.alias("line"))
 
 
+def sighting_table(sightings: DataFrame, base: str = "") -> DataFrame:
+    """The twelve columns of the download of sightings, oldest first."""
+    c = F.col
+    return sightings.orderBy("date", "id").select(
+        iso_millis(c("date")).alias("date"), "place", c("admin").alias("region"), c("lat").alias("latitude"), c("lon").alias("longitude"), "precision", c("provenance").alias("located_by"), "title", "publisher", "tier", "outlets",
+        F.concat(F.lit(f"{base}/story/"), c("id"), F.lit("/")).alias("story_url"),
+    )
+
+
+def frequency_table(days: DataFrame) -> DataFrame:
+    """The three columns of the download of daily counts."""
+    return days.orderBy("date").select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("count").alias("reports"), F.col("placed").alias("placed_on_map"))
+
+
 def thumbnail_size(width: Column, height: Column, most: int = 800, least_w: int = 320, least_h: int = 180) -> Column:
     """Width and height of an image fitted into a square; null for one that is too small."""
     scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,42 +13,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from storyweft.operators.health import EMPTY_ALLOWED, QUARANTINE_AFTER
 from storyweft.operators.store import merge_first_wins, upsert, write_days
 from storyweft.schema import ITEM
+from storyweft.session import cut
 
 
-def merge_batch(path: str, late_days: int = 45):
+def merge_batch(path: str, late_days: int = 45, clock: Callable[[], datetime] | None = None):
     """A ``foreachBatch`` function: items of a batch into the store at ``path``.
 
-    Only the days that the batch's ids live in, or go to, are read and written. Items older than ``late_days`` against the
-    newest first sighting of the batch are dropped unless known. An empty batch writes nothing, the same batch
-    again changes nothing.
+    Only the days that the batch's ids live in, or go to, are read and written. Items older than ``late_days`` against ``clock``
+    (for replays, where there is none, the newest first sighting of the batch) are dropped unless known. An empty batch writes nothing,
+    the same batch again changes nothing. What is read of the store is cut to the shared folder before its files are replaced, so
+    an executor may be lost at any time.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        incoming = merge_first_wins(batch).persist()
+        incoming = cut(merge_first_wins(batch))
+        bounds = incoming.agg(F.max("first_seen_at").alias("now"), F.count("*").alias("n")).first()
+        if not bounds["n"]:
+            return
         try:
-            bounds = incoming.agg(F.max("first_seen_at").alias("now"), F.count("*").alias("n")).first()
-            if not bounds["n"]:
-                return
-            try:
-                stored = spark.read.parquet(path)
-            except Exception as e:  # no store yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-                stored = spark.createDataFrame([], ITEM + ", pub_date DATE")
-            known = stored.select("id", "pub_date").join(incoming.select("id"), "id", "left_semi").persist()
-            fresh = incoming.join(known.select("id").distinct().withColumn("__k", F.lit(True)), "id", "left")
-            fresh = fresh.where((F.col("published_at") >= F.lit(bounds["now"]) - F.expr(f"interval {late_days} days")) | F.coalesce("__k", F.lit(False))).drop("__k")
-            days = known.select("pub_date").union(fresh.select(F.to_date("published_at"))).distinct()
-            near = stored.join(days, "pub_date", "left_semi").drop("pub_date").persist()
-            near.count()  # read before its files are replaced
-            merged = upsert(near, fresh).withColumn("outcome", F.coalesce("outcome", F.lit("kept")))
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-            write_days(merged, path)
-            near.unpersist()
-            known.unpersist()
-        finally:
-            incoming.unpersist()
+            stored = spark.read.parquet(path)
+        except Exception as e:  # no store yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            stored = spark.createDataFrame([], ITEM + ", pub_date DATE")
+        known = cut(stored.select("id", "pub_date").join(incoming.select("id"), "id", "left_semi"))
+        fresh = incoming.join(known.select("id").distinct().withColumn("__k", F.lit(True)), "id", "left")
+        fresh = fresh.where((F.col("published_at") >= F.lit(clock() if clock else bounds["now"]) - F.expr(f"interval {late_days} days")) | F.coalesce("__k", F.lit(False))).drop("__k")
+        days = known.select("pub_date").union(fresh.select(F.to_date("published_at"))).distinct()
+        near = cut(stored.join(days, "pub_date", "left_semi").drop("pub_date"))
+        merged = cut(upsert(near, fresh).withColumn("outcome", F.coalesce("outcome", F.lit("kept"))))
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        write_days(merged, path)
 
     return run
 

@@ -61,3 +61,30 @@ def test_health_is_kept_between_batches(spark, tmp_path):
     assert tuple(run())[2:] == ("quarantined", 3, 0)
     write("3.json", ["success"], 9)
     assert run()["status"] == "ok"
+
+
+def test_a_lost_cache_loses_no_rows(spark, tmp_path, monkeypatch):
+    """What is kept in memory goes right before the store's files are replaced, as when an executor is lost."""
+    store = str(tmp_path / "store")
+    merge = ingest.merge_batch(store)
+    frame = lambda rows: spark.createDataFrame(rows, ITEM)
+    merge(frame([item("a", 1), item("b", 1)]), 0)
+    write = ingest.write_days
+
+    def forgetful(merged, path, *args):
+        spark.catalog.clearCache()
+        write(merged, path, *args)
+
+    monkeypatch.setattr(ingest, "write_days", forgetful)
+    merge(frame([item("b", 2, image="i.png"), item("c", 2)]), 1)
+    got = {r["id"]: r for r in spark.read.parquet(store).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"].image == "i.png"
+
+
+def test_late_items_by_the_clock(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = [item("a", 1), item("old", 1, published_at=datetime(2025, 1, 1))]
+    ingest.merge_batch(store, clock=lambda: datetime(2025, 1, 20))(spark.createDataFrame(rows, ITEM), 0)
+    assert {r["id"] for r in spark.read.parquet(store).collect()} == {"a", "old"}
+    ingest.merge_batch(store, clock=lambda: datetime(2026, 6, 1))(spark.createDataFrame([item("new", 1), item("old", 2, published_at=datetime(2025, 1, 1))], ITEM), 1)
+    assert {r["id"] for r in spark.read.parquet(store).collect()} == {"a", "old"}  # known ones may be old
