@@ -46,6 +46,7 @@ def _latin() -> tuple[str, str]:
 
 
 _MARKED, _PLAIN = _latin()
+_TO_PLAIN = str.maketrans(_MARKED, _PLAIN)
 
 
 def plain_letters(c: Column) -> Column:
@@ -111,7 +112,7 @@ def headline_text(raw: str | None, publisher: str | None, search: bool | None, m
 
 def fold_text(name: str) -> str:
     """:func:`fold_publisher` of one name."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
+    plain = re.sub("[\u0300-\u036f]", "", name.lower().translate(_TO_PLAIN))
     return re.sub("[^a-z0-9]+", " ", re.sub(r"^the\s+", "", plain)).strip()
 
 
@@ -337,15 +338,17 @@ def register(spark) -> None:
 
 
 def _python(f):
-    """Row-wise twins of the column functions for SQL registration, run over Arrow batches."""
+    """Row-wise twins of the column functions for SQL registration, run over Arrow batches, by the same table of letters and the same patterns."""
+    py = lambda pattern: re.compile(pattern.replace(r"\z", r"\Z"))
+    second, top, tracking = py(SECOND_LEVEL), py(TOP_DOMAIN), py(TRACKING)
 
     def fold(x: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c))
+        return re.sub("[\u0300-\u036f]", "", x.lower().translate(_TO_PLAIN))
 
     def key(x: str) -> str:
         c = re.sub(r"^www\.", "", re.sub(r"^https?://", "", fold(x).strip()))
         if re.fullmatch(r"[a-z0-9-]+(\.[a-z0-9-]+)+", c):
-            c = re.sub(r"\.[a-z]{2,6}$", "", re.sub(r"\.(?:co|com|org|net|ac|gov)\.[a-z]{2}$", "", c))
+            c = top.sub("", second.sub("", c))
         return re.sub(r"[^a-z0-9]+", "", re.sub(r"^the\s+", "", c))
 
     def title(x: str) -> str:
@@ -353,7 +356,7 @@ def _python(f):
 
     def url(x: str) -> str:
         base, _, query = x.partition("#")[0].partition("?")
-        kept = [p for p in query.split("&") if p and not re.match(r"(utm_[^=]*|fbclid|gclid|mc_cid|mc_eid)(=|$)", p, re.I)]
+        kept = [p for p in query.split("&") if p and not tracking.match(p)]
         return base + ("?" + "&".join(kept) if kept else "")
 
     def host(x: str) -> str:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 LEAST_WORDS = 150
 # Tags and attributes that may stay, and what headings become.
-KEEP_TAGS = set("a abbr b blockquote br caption cite code dd del details dl dt em figcaption figure h2 h3 h4 hr i img ins kbd li ol p pre q s small strong sub summary sup table tbody td th thead tr u ul".split())
-KEEP_ATTRIBUTES = {"a": ("href", "title"), "img": ("src", "alt", "width", "height"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan"), "abbr": ("title",)}
+KEEP_TAGS = set("p h2 h3 h4 ul ol li blockquote figure figcaption img a strong em b i u s br hr pre code table thead tbody tr th td sup sub cite q time abbr".split())
+KEEP_ATTRIBUTES = {"a": ("href",), "img": ("src", "alt", "width", "height"), "td": ("colspan",), "th": ("colspan",), "time": ("datetime",), "abbr": ("title",)}
 RENAMED = {"h1": "h2", "h5": "h4", "h6": "h4"}
 VOID = {"br", "hr", "img"}
 BLOCKS = {"p", "blockquote", "li", "h2", "h3", "h4", "figcaption", "pre", "td", "dd", "dt"}

@@ -38,19 +38,24 @@ def step(state: Column, e: Column, after: int = QUARANTINE_AFTER, allowed: int =
     ).cast(STATE)
 
 
-def fold_health(events: DataFrame, allowed: int = EMPTY_ALLOWED) -> DataFrame:
+def fold_health(events: DataFrame, allowed: int = EMPTY_ALLOWED, state: DataFrame | None = None) -> DataFrame:
     """HEALTH rows: each source's state after its events in order of time, then of the events' text.
 
-    A source's log is folded in the JVM over its sorted array; a log has one row a poll, so it is as long as the
-    source is old, not as the table is large.
+    ``state`` are HEALTH rows from which the fold goes on, so that only the events since are read: what a source's row holds at once
+    is its new events, not its whole log. Without it a source begins healthy. Sources without new events keep their state.
     """
     zero = F.struct(
         F.lit("ok").alias("status"), F.lit(0).alias("fails"), F.lit(0).alias("empty"), *(F.lit(None).alias(n) for n in ("ok_at", "checked_at", "error", "http", "items", "quarantined_at", "etag", "modified"))
     ).cast(STATE)
     event = F.struct("ts", "kind", F.col("status").alias("http"), F.col("item_count").alias("items"), "etag", F.col("last_modified").alias("modified"), "error")
     folded = events.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list(event)).alias("log"))
-    state = folded.select("id", F.aggregate("log", zero, lambda s, e: step(s, e, allowed=allowed)).alias("s"))
-    return state.select(
+    first = zero
+    if state is not None:
+        names = ["status", "consecutive_failures", "consecutive_empty", "last_ok_at", "last_checked_at", "last_error", "last_http_status", "last_item_count", "quarantined_at", "etag", "last_modified"]
+        folded = folded.join(state.select("id", F.struct(*names).cast(STATE).alias("was")), "id", "full_outer").withColumn("log", F.coalesce("log", F.slice(F.array(F.lit(None).cast(folded.schema["log"].dataType.elementType)), 1, 0)))
+        first = F.coalesce("was", zero)
+    state_after = folded.select("id", F.aggregate("log", first, lambda s, e: step(s, e, allowed=allowed)).alias("s"))
+    return state_after.select(
         "id", "s.status", F.col("s.fails").alias("consecutive_failures"), F.col("s.empty").alias("consecutive_empty"), F.col("s.ok_at").alias("last_ok_at"), F.col("s.checked_at").alias("last_checked_at"),
         F.col("s.error").alias("last_error"), F.col("s.http").alias("last_http_status"), F.col("s.items").alias("last_item_count"), "s.quarantined_at", "s.etag", F.col("s.modified").alias("last_modified"),
     )

@@ -22,6 +22,7 @@ SWITCH = 1.0  # cost of another format than the record before
 BACK = 1.0  # cost of an instant more than SLACK before the record before
 SLACK = 2 * 86_400_000_000
 SALTS = 16
+ROWS = 1_000_000  # records of a range partition at most, about: it is held at once by a task
 FORMS = ["epoch", "ymd", "compact", "dmy", "mdy", "slash-mdy", "slash-dmy", "dots"]
 
 Cand = list[tuple[int, int, float]]  # (format, instant, cost) of a record's readings
@@ -107,13 +108,13 @@ class _Part:
         return pick
 
 
-def read_instants(entries: DataFrame, sources: DataFrame, key: str = "entry_id", source: str = "source_id", text: str = "published", order: str = "fetched_at", keep: tuple[str, ...] = ()) -> DataFrame:
+def read_instants(entries: DataFrame, sources: DataFrame, key: str = "entry_id", source: str = "source_id", text: str = "published", order: str = "fetched_at", keep: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
     """Columns ``key, source, form, utc_us`` and ``keep``: the instant each record's text names.
 
     ``sources`` has ``id``, ``tz`` and ``edition``. Records with no valid reading are left out: null and blank text, junk,
     impossible dates. A record of an unknown source (or null) is read with no zone and no edition, its own chain being that of
     the source's name. Records follow one another by ``order`` (nulls first), then ``key``; repeated rows come out
-    as often as they went in. An empty table gives an empty result.
+    as often as they went in. An empty table gives an empty result. There are as many range partitions as give each about ``rows`` records.
     """
     spark = entries.sparkSession
     known = sources.select(F.col("id").alias("source_id"), "tz", "edition").dropDuplicates(["source_id"])
@@ -136,7 +137,7 @@ def read_instants(entries: DataFrame, sources: DataFrame, key: str = "entry_id",
     types = {f.name: f.dataType.simpleString() for f in joined.schema}
     head = ", ".join(f"{c} {types[c]}" for c in passed)
     parsed = joined.mapInArrow(parse, f"{head}, form array<int>, us array<bigint>, cost array<double>")
-    ordered = parsed.repartitionByRange(width(spark), "source_id", "o", "k").sortWithinPartitions("source_id", "o", "k")
+    ordered = parsed.repartitionByRange(max(width(spark), -(-entries.count() // rows)), "source_id", "o", "k").sortWithinPartitions("source_id", "o", "k")
     ordered = cut(ordered.withColumn("block", F.spark_partition_id()))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

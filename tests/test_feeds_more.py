@@ -118,3 +118,16 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Session())
+
+
+def test_states_go_on_from_where_they_were(spark):
+    """Folding a log in two parts gives what folding it at once gives."""
+    from storyweft.operators.health import fold_health
+
+    kinds = ["success", "failure", "failure", "not_modified", "success", "success", "failure", "failure", "failure", "disabled"]
+    rows = [(s, datetime(2026, 1, 1 + i), k, 500 if k == "failure" else 200, i % 3, "e", "m", f"x{i}") for s, n in (("a", 10), ("b", 7), ("c", 4)) for i, k in enumerate(kinds[:n])] + [("d", datetime(2026, 1, 9), "failure", None, None, None, None, None)]
+    log = spark.createDataFrame(rows, "source_id string, ts timestamp, kind string, status int, item_count int, etag string, last_modified string, error string")
+    early = F.col("ts") < "2026-01-06"
+    whole = {tuple(r) for r in fold_health(log, 2).collect()}
+    assert {tuple(r) for r in fold_health(log.where(~early), 2, fold_health(log.where(early), 2)).collect()} == whole
+    assert {tuple(r) for r in fold_health(log.where("false"), 2, fold_health(log, 2)).collect()} == whole

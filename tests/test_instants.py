@@ -122,3 +122,29 @@ def test_misdated(spark):
     items = spark.sql("select * from values ('a', 'us', 'u1', timestamp'2026-01-01 00:00:00'), ('b', 'us', 'u2', timestamp'2026-01-01 00:00:00'), ('c', 'us', 'u3', null), ('d', 'us', 'u9', timestamp'2026-01-01 00:00:00') t(id, feed_id, url, published_at)")
     inst = spark.sql(f"select * from values ('us', 'u1', {us(2026, 1, 1)}), ('us', 'u2', {us(2026, 1, 2)}), ('us', 'u3', 5) t(source_id, link, utc_us)").withColumn("link_hash", F.xxhash64("link"))
     assert {tuple(r) for r in misdated(items, inst).collect()} == {("b", us(2026, 1, 2)), ("c", 5)}
+
+
+def test_the_order_of_records_decides(spark, monkeypatch):
+    """Where no edition is known, days first in the records around outweigh the country's habit; without the chain they don't, nor against an edition."""
+    from storyweft.operators import instants
+
+    texts = ["13/05/2026 08:00", "05/06/2026 09:00", "14/06/2026 08:00", "15/06/2026 08:00"]
+    start = datetime(2026, 6, 20)
+    rows = [(i, s, t, start + timedelta(hours=i)) for s in ("none", "us") for i, t in enumerate(texts)] + [(9, "lone", texts[1], start)]
+    entries = spark.createDataFrame(rows, "entry_id bigint, source_id string, published string, fetched_at timestamp")
+    sources = spark.createDataFrame([("none", NY, None), ("us", NY, "US"), ("lone", NY, None)], "id string, tz string, edition string")
+    for size in (1_000_000, 2):
+        got = {(r["source_id"], r["entry_id"]): r["utc_us"] for r in read_instants(entries, sources, rows=size).collect()}
+        assert got["none", 1] == us(2026, 6, 5, 13) and got["us", 1] == us(2026, 5, 6, 13) and got["lone", 9] == us(2026, 5, 6, 13)
+        assert ("us", 0) not in got and ("none", 3) in got
+    chain = [[(f, u, c) for f, u, c in readings(t, NY, None)] for t in texts]
+    assert chain[1][_best(chain)[1]][0] == "slash-dmy"
+    monkeypatch.setattr(instants, "SWITCH", 0.0)
+    monkeypatch.setattr(instants, "BACK", 0.0)
+    assert chain[1][_best(chain)[1]][0] == "slash-mdy"
+
+
+def test_zone_letters_without_a_country():
+    found = {c: u for _, u, c in readings("Fri, 09 Jan 2026 12:00 CST", None, None)}
+    assert found[0.0] == us(2026, 1, 9, 18) and min(c for c in found if c) < 1
+    assert {c for _, _, c in readings("Fri, 09 Jan 2026 12:00 CST", "Asia/Shanghai", None)} == {0.0, UNLIKELY}
