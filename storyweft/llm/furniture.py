@@ -13,13 +13,13 @@ def furniture(articles: DataFrame, key: str = "id", site: str = "site_name", con
     """Columns ``key, line_no``: lines with visible text that are the page's template and not its report; -1 for such an excerpt.
 
     See ``pages``: a line belongs to the template if its class nests outside the main slot on most pages. Records that are
-    residue are left out. Lines count from 0, empty ones included. Null contents and excerpts have no lines; of rows
-    with one key one counts; null keys are left out, other columns are not read, an empty table gives an empty result.
+    residue are left out. Lines count from 0, empty ones included. Null contents and excerpts have no lines; rows with
+    one key give the lines of any of them, each once; null keys are left out, other columns are not read, an empty table gives an empty result.
     """
     words = vocabulary(articles, content)
     judged = classified(articles, key=key, site=site, content=content, excerpt=excerpt, words=words, title=title, told=told)
     broken = residue(articles, key, title, content, site, lines=judged, words=words).select(F.col(key).alias("k"))
-    return judged.where(F.col("template") >= OUTSIDE).join(broken, "k", "left_anti").select(F.col("k").alias(key), F.col("no").alias("line_no"))
+    return judged.where(F.col("template") >= OUTSIDE).join(broken, "k", "left_anti").select(F.col("k").alias(key), F.col("no").alias("line_no")).distinct()
 
 
 def main_text(articles: DataFrame, key: str = "id", site: str = "site_name", content: str = "content", excerpt: str = "excerpt", title: str = "title") -> DataFrame:

@@ -143,7 +143,7 @@ def test_occurrence_vectors(spark):
     rows += [(f"m{i}", 0, 31, True) for i in range(5)] + [(f"m{i}", 1, 31, False) for i in range(2)] + [("m9", 0, 41, True), ("m8", 0, 41, True)]
     met: set = set()
     rows = [(*r, (r[0], r[2]) not in met and not met.add((r[0], r[2]))) for r in rows]
-    line = spark.createDataFrame(rows, "k string, no bigint, k0 bigint, outside boolean, first boolean")
+    line = spark.createDataFrame(rows, "k string, no bigint, k0 bigint, outside boolean, first boolean").withColumn("weight", F.lit(1.0))
     assert {r["class"]: (r["out"], r["n"]) for r in pages.host_classes(line).collect()} == {31: (pytest.approx(5 * 5 / 7), 5)}
     ordered = line.where("k0 not in (21, 22)")
     got = {r["class"]: (r["out"], r["n"]) for r in pages.host_classes(ordered, hot=2).collect()}
