@@ -5,12 +5,15 @@ Documents that aren't among the tables (feeds, listings, redirects) are written
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyweft import schema
+from storyweft.functions import instants as times
 from storyweft.functions import text
 from storyweft.operators import cluster, extract, health, normalize, robots, rules, store, timeseries
 from storyweft.plans.views import best_tier
@@ -540,3 +543,47 @@ SQL["refreshed_items"] = rf"""WITH raw_entry AS (SELECT m.id AS entry_id, feed_i
     {_HEADLINES.replace(_PUBLISHED, "e.source.name")}, old AS (SELECT id, list_filter({_TOPIC_LIST}, lambda x: list_contains(flatten(list(topics)), x)) AS was FROM item GROUP BY id),
     t AS (SELECT heads.*, {_FOUND} AS found, false AS listed FROM heads)
     SELECT entry_id AS id, head AS title, array_to_string(CASE WHEN len(found) > 0 THEN list_filter({_TOPIC_LIST}, lambda x: list_contains(found, x)) ELSE coalesce(was, own_topics) END, ',') AS topics, {_flag_tests()} AS flags FROM t JOIN old ON old.id = entry_id"""
+
+
+# --- instants --------------------------------------------------------------------------------------------------
+
+
+def _readings_sql() -> str:
+    """SQL of the instant that each raw entry names, by the stated rules one after the other: shape, order of a slash date, clock, zone."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = {name: sorted(by.items()) for name, by in times.LETTERS.items()}
+    country = "CASE " + " ".join(f"WHEN starts_with(tz, {quoted(z)}) THEN {quoted(c)}" for z, c in times.ZONE_COUNTRY) + " ELSE coalesce(edition, '') END"
+    letters = "CASE upper(let) " + " ".join(f"WHEN {quoted(n)} THEN CASE place " + " ".join(f"WHEN {quoted(c)} THEN {o}" for c, o in by if c) + f" ELSE {dict(by).get('', 'NULL')} END" if any(c for c, _ in by) else f"WHEN {quoted(n)} THEN {dict(by)['']}" for n, by in known.items()) + " END"
+    months = "[" + ", ".join(quoted(m) for m in times.MONTHS) + "]"
+    parts, fields = [], ("y", "m", "d", "b", "a", "c", "h", "mi", "s", "f", "ap", "sign", "oh", "om", "let")
+    for place, (name, pattern) in enumerate(times.SHAPES):
+        # the one group that is asked for, as groups over nine can't be
+        only = lambda field, p=pattern.pattern: quoted("^(?:" + re.sub(r"\(\?P<(\w+)>", lambda m: "(" if m.group(1) == field else "(?:", p) + ")$")
+        text_ = only("")
+        cells = ", ".join((f"nullif(regexp_extract(t, {only(f)}, 1), '') AS {f}" if f in pattern.groupindex else f"CAST(NULL AS VARCHAR) AS {f}") for f in fields)
+        parts.append(f"SELECT entry_id, {place} AS shape, {quoted(name)} AS form, tz, edition, {cells} FROM src WHERE regexp_matches(t, {text_})")
+    return rf"""src AS (SELECT entry_id, regexp_replace(published, '^[\s\x1c-\x1f\x85\p{{Z}}]+|[\s\x1c-\x1f\x85\p{{Z}}]+$', '', 'g') AS t, tz, edition FROM raw_entry LEFT JOIN feed_source f ON f.id = source_id WHERE published IS NOT NULL),
+    shaped AS ({" UNION ALL ".join(parts)}), one AS (SELECT * FROM shaped QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY shape) = 1),
+    cal AS (SELECT *, {country} AS place, CAST(y AS INT) + CASE WHEN length(y) = 2 THEN 2000 ELSE 0 END AS yy, CASE WHEN form = 'slash' THEN CAST(CASE WHEN edition = 'US' THEN a ELSE c END AS INT) WHEN b IS NOT NULL THEN list_position({months}, lower(left(b, 3))) ELSE CAST(m AS INT) END AS mm, CASE WHEN form = 'slash' THEN CAST(CASE WHEN edition = 'US' THEN c ELSE a END AS INT) ELSE CAST(d AS INT) END AS dd,
+        CASE WHEN ap IS NULL THEN coalesce(CAST(h AS INT), 0) WHEN CAST(h AS INT) BETWEEN 1 AND 12 THEN CAST(h AS INT) % 12 + CASE WHEN lower(ap) = 'p' THEN 12 ELSE 0 END END AS hh, coalesce(CAST(mi AS INT), 0) AS mn, coalesce(CAST(s AS INT), 0) AS ss, CAST(rpad(left(coalesce(f, '0'), 6), 6, '0') AS INT) AS us FROM one),
+    wall AS (SELECT *, try_cast(printf('%04d-%02d-%02d', yy, mm, dd) AS DATE) AS day FROM cal WHERE yy >= 1 AND hh < 24 AND mn < 60 AND ss < 60),
+    clock AS (SELECT *, epoch_us(CAST(day AS TIMESTAMP)) + (hh * 3600 + mn * 60 + ss) * CAST(1000000 AS BIGINT) + us AS w FROM wall WHERE day IS NOT NULL),
+    off AS (SELECT *, CASE WHEN sign IS NOT NULL THEN CASE WHEN CAST(oh AS INT) <= 15 AND coalesce(CAST(om AS INT), 0) < 60 THEN (CAST(oh AS INT) * 60 + coalesce(CAST(om AS INT), 0)) * CASE WHEN sign = '+' THEN 1 ELSE -1 END END WHEN let IS NOT NULL THEN {letters} END AS minutes, sign IS NOT NULL OR let IS NOT NULL AS named,
+        epoch_us(timezone(coalesce(tz, 'UTC'), make_timestamptz(w - 86400000000))) - (w - 86400000000) AS before, epoch_us(timezone(coalesce(tz, 'UTC'), make_timestamptz(w + 86400000000))) - (w + 86400000000) AS after FROM clock),
+    inst AS (SELECT entry_id, CASE WHEN named THEN w - minutes * CAST(60000000 AS BIGINT) WHEN before = after OR epoch_us(timezone(tz, make_timestamptz(w - before))) = w THEN w - before WHEN epoch_us(timezone(tz, make_timestamptz(w - after))) = w THEN w - after ELSE w - before END AS utc_us FROM off
+        UNION ALL SELECT entry_id, CAST(t AS BIGINT) * CASE WHEN length(t) = 10 THEN 1000000 ELSE 1000 END FROM src WHERE regexp_full_match(t, '[0-9]{{10}}(?:[0-9]{{3}})?'))"""
+
+
+SQL["p2_found"] = f"""WITH {_readings_sql()}, ok AS (SELECT * FROM inst WHERE utc_us IS NOT NULL),
+    named AS (SELECT i.id, min(utc_us) AS lo, max(utc_us) AS hi, bool_or(epoch_us(i.published_at) IS DISTINCT FROM utc_us) AS differs FROM item i JOIN raw_entry r ON r.source_id = i.feed_id AND r.link = i.url JOIN ok USING (entry_id) GROUP BY i.id)
+    SELECT DISTINCT 'raw_entry' AS rec, CAST(entry_id AS VARCHAR) AS rec_key, utc_us FROM ok UNION ALL SELECT 'item', id, lo FROM named WHERE lo = hi AND differs"""
+
+_FLAG_LIST = _flag_tests().removeprefix("array_to_string(").removesuffix(", ',')").replace("OR listed", "OR false")
+SQL["normalized_entries"] = rf"""WITH {_HEADLINES}, {_SNIPPETS}, {_readings_sql()},
+    t AS (SELECT snips.*, {_NORM.format("head")} AS tn, {_FOUND} AS found, utc_us FROM snips LEFT JOIN (SELECT entry_id, min(utc_us) AS utc_us FROM inst GROUP BY entry_id) USING (entry_id)),
+    u AS (SELECT *, CASE WHEN len(found) > 0 THEN found WHEN coalesce(auto, false) THEN CASE WHEN default_topic IS NULL THEN [] ELSE [default_topic] END ELSE coalesce(own_topics, []) END AS tp FROM t),
+    item AS (SELECT left(sha1(tn || '|' || {_FOLDED("publisher")}), 16) AS id, head AS title, trim(link) AS url, regexp_matches(link, '(?i)^https?://[^/]+/rss/articles/') AS url_opaque, publisher, coalesce(own_tier, 'genre') AS tier, tp AS topics, {_FLAG_LIST} AS flags,
+      CASE WHEN utc_us IS NULL OR utc_us > epoch_us(fetched_at) + 3600000000 THEN fetched_at ELSE make_timestamptz(utc_us) END AS published_at, fetched_at AS first_seen_at, CASE WHEN kind = 'google-news' THEN NULL ELSE snip END AS snippet, image
+      FROM u WHERE length(head) >= 8 AND ({_WORDS("head")} >= 3 OR length(head) >= 20) AND regexp_matches(trim(link), '(?i)^https?://') AND NOT regexp_matches(head, '\([A-Za-z0-9_-]{{10,12}}\)\s*$') AND NOT regexp_matches(head, '(?i){rules.OFF_TOPIC[0]}') AND len(tp) > 0 AND tn <> '')
+    SELECT id, arg_min(title, {_BY}) AS title, arg_min(publisher, {_BY}) AS publisher, coalesce(arg_min(url, {_BY}) FILTER (NOT url_opaque), arg_min(url, {_BY})) AS url, arg_min(tier, {_BY}) AS tier, arg_min(published_at, {_BY}) AS published_at,
+    array_to_string(list_filter({_TOPIC_LIST}, lambda x: list_contains(flatten(list(topics)), x)), ',') AS topics, array_to_string(list_sort(list_distinct(flatten(list(flags)))), ',') AS flags, arg_min(snippet, {_BY}) FILTER (snippet IS NOT NULL) AS snippet FROM item GROUP BY id"""

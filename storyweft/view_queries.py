@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from storyweft import schema
 from storyweft.operators import cluster, geo, rank
 from storyweft.plans.views import SKIPPED_HOSTS, Views, sort_sightings
-from storyweft.queries import _BY, _HELD, _HIDDEN, _KEY, _TOKENS, _WINDOW, SQL, _polls, query
+from storyweft.queries import _BY, _HELD, _HIDDEN, _KEY, _MERGED_IDS, _PAIRS, _STEM, _STOP, _TOKENS, _WINDOW, SQL, _polls, query
 from storyweft.sources import files
 
 _NOW = "TIMESTAMP '2026-10-01'"
@@ -322,3 +322,20 @@ SQL["rolled_up_stories"] = rf"""WITH RECURSIVE {_ALL_MEMBERS}, {_TOKENS},
     SELECT b.id, title, primary_id, items, publishers, CASE top WHEN 0 THEN 'official' WHEN 1 THEN 'press' WHEN 2 THEN 'genre' ELSE 'unverified' END AS tier, CAST(corroboration AS INT) AS corroboration, topics, array_to_string(coalesce(fl.flags, []), ',') AS flags, first_published, latest_published, snippet, image,
     round(CAST(weight * (1 + ln(groups)) / (greatest(0, (epoch_ms({_NOW}) - epoch_us(latest_published) // 1000) / 3600000.0) + 6.0) * coalesce(list_aggregate(list_transform(fl.flags, lambda f: CAST({_PENALTY} AS DOUBLE)), 'product'), 1.0) AS DOUBLE), 6) AS score
     FROM b JOIN s USING (story) JOIN names USING (story) LEFT JOIN fl USING (story)"""
+
+
+# Stories built anew: the links of similar headlines in their order, one after the other, each uniting two stories if they stay within a week.
+_BUILT = f"""{_PAIRS},
+    words AS (SELECT id, unnest(list_filter(string_split(title_norm, ' '), lambda w: w <> '' AND NOT list_contains({_STOP}, w) AND (length(w) > 1 OR regexp_matches(w, '[0-9]')))) AS w, generate_subscripts(list_filter(string_split(title_norm, ' '), lambda w: w <> '' AND NOT list_contains({_STOP}, w) AND (length(w) > 1 OR regexp_matches(w, '[0-9]'))), 1) AS at_ FROM {_MERGED_IDS}),
+    placed AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY min(at_)) - 1 AS pos FROM (SELECT id, at_, {_STEM} AS token FROM words) GROUP BY id, token),
+    first_shared AS (SELECT p.a, p.b, min(x.pos) AS pos FROM pairs p JOIN placed x ON x.id = p.a JOIN tok y ON y.id = p.b AND y.token = x.token JOIN idf ON idf.token = x.token, n WHERE p.phase = 1 AND idf.df <= greatest(25, ceil(0.02 * n)) GROUP BY p.a, p.b),
+    num AS (SELECT id, published_at, row_number() OVER (ORDER BY id) AS i FROM items),
+    link AS (SELECT x.i AS ai, y.i AS bi, row_number() OVER (ORDER BY phase, x.published_at, p.a, coalesce(f.pos, 0), y.published_at, p.b) AS step FROM pairs p LEFT JOIN first_shared f ON f.a = p.a AND f.b = p.b JOIN num x ON x.id = p.a JOIN num y ON y.id = p.b),
+    every AS MATERIALIZED (SELECT list(epoch_us(published_at) ORDER BY i) AS ts FROM num), links AS MATERIALIZED (SELECT list(ai ORDER BY step) AS ais, list(bi ORDER BY step) AS bis FROM link),
+    fold(step, labels) AS (SELECT CAST(0 AS BIGINT), (SELECT list(i ORDER BY i) FROM num)
+        UNION ALL SELECT step + 1, CASE WHEN la <> lb AND list_max(span) - list_min(span) <= 604800000000 THEN list_transform(labels, lambda l: CASE WHEN l = lb THEN la ELSE l END) ELSE labels END
+        FROM (SELECT step, labels, la, lb, list_transform(list_filter(list_zip(labels, ts), lambda z: z[1] = la OR z[1] = lb), lambda z: z[2]) AS span FROM (SELECT step, labels, ts, labels[ais[step + 1]] AS la, labels[bis[step + 1]] AS lb FROM fold, every, links WHERE step < len(ais)))),
+    final AS (SELECT unnest(labels) AS label, generate_subscripts(labels, 1) AS i FROM (SELECT labels FROM fold ORDER BY step DESC LIMIT 1)),
+    story AS (SELECT arg_min(id, (published_at, id)) AS id, list(id) AS items FROM final JOIN num USING (i) GROUP BY label)"""
+_ROLLED = SQL["rolled_up_stories"].removeprefix(f"WITH RECURSIVE {_ALL_MEMBERS}, {_TOKENS},")
+SQL["story_board"] = f"SELECT id, title, primary_id, CAST(len(string_split(items, ',')) AS INT) AS members, publishers, tier, corroboration, topics, flags, first_published, latest_published, score FROM (WITH RECURSIVE {_BUILT}, {_ALL_MEMBERS}, {_ROLLED})"
