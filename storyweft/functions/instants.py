@@ -1,8 +1,8 @@
 """All valid readings of a timestamp text, each with a format, an instant and a cost.
 
 A reading that the source settles (edition, zone, country) costs nothing; its rivals cost ``UNLIKELY`` each, more than any order of records can
-outweigh. What only hints at one (the country's habit where no edition is known, the usual meaning of zone letters where no country is)
-makes its rivals ``DOUBTFUL``, which the order may outweigh. Where nothing hints, rivals cost the same and the order decides.
+outweigh. What only hints at one (the usual meaning of zone letters where no country is known) makes its rivals ``DOUBTFUL``, which the
+order may outweigh. Where nothing hints, rivals cost the same and the order decides.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def readings(text: str | None, tz: str | None, edition: str | None) -> list[tupl
     Outer white space is ignored. Text without a zone is wall-clock time in ``tz`` (UTC where that is unknown): of a time that
     occurs twice the earlier instant is likely, one that is skipped takes the offset before the change. A date alone is
     the start of its local day. Two-digit years are 20xx. Slash dates are month first for edition US and day first
-    for others; without an edition the country's habit is likelier, and without a country both are as likely. Ten digits are seconds, thirteen milliseconds.
+    for others; without an edition both are as likely. Ten digits are seconds, thirteen milliseconds.
     """
     text = (text or "").strip()
     if not text:
@@ -105,9 +105,8 @@ def readings(text: str | None, tz: str | None, edition: str | None) -> list[tupl
         g = m.groupdict()
         year = int(g["y"]) + (2000 if len(g["y"]) == 2 else 0)
         if shape == "slash":
-            first = edition == "US" if edition else where == "US" if where else None
-            rival = UNLIKELY if edition else DOUBTFUL
-            dates = [("slash-mdy", int(g["a"]), int(g["c"]), rival if first is False else 0.0), ("slash-dmy", int(g["c"]), int(g["a"]), rival if first else 0.0)]
+            first = None if not edition else edition == "US"
+            dates = [("slash-mdy", int(g["a"]), int(g["c"]), UNLIKELY if first is False else 0.0), ("slash-dmy", int(g["c"]), int(g["a"]), UNLIKELY if first else 0.0)]
             if edition:  # an edition's order isn't given up because its date is impossible
                 dates = [x for x in dates if not x[3]] + [x for x in dates if x[3]]
         else:

@@ -74,3 +74,9 @@ def window(items: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Items of the last days by their day, a filter on the partition column where there is one."""
     day = F.col("pub_date") if "pub_date" in items.columns else F.to_date("published_at")
     return items.where(day >= F.date_sub(F.to_date(now), days))
+
+
+def run_totals(merged: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """One row of an ingest run, from :func:`upsert`: items added and updated, all that are kept, and those of the last days."""
+    recent = F.col("published_at") >= F.timestamp_micros(F.unix_micros(now) - days * F.lit(86_400_000_000))
+    return merged.agg(F.count_if(F.col("outcome") == "added").alias("added"), F.count_if(F.col("outcome") == "updated").alias("updated"), F.count("*").alias("kept"), F.count_if(recent).alias("recent"))

@@ -139,9 +139,14 @@ def feed_items(stories: DataFrame, items: DataFrame, base: str = "") -> DataFram
     )
 
 
+def first_of_feed(feed: DataFrame, most: int = 50) -> DataFrame:
+    """The first ``most`` rows of a feed, best score first: what a feed document holds."""
+    return feed.orderBy(F.desc_nulls_last("score"), F.desc("published"), "guid").limit(most)
+
+
 def rss(feed: DataFrame, title: str, link: str, most: int = 50) -> str:
-    """An RSS document of the first ``most`` rows of a feed, best score first."""
-    rows = feed.orderBy(F.desc("score"), F.desc("published"), "guid").limit(most).withColumn("pub", F.date_format("published", "dd MMM yyyy HH:mm:ss '+0000'")).collect()
+    """An RSS document of the first ``most`` rows of a feed."""
+    rows = first_of_feed(feed, most).withColumn("pub", F.date_format("published", "dd MMM yyyy HH:mm:ss '+0000'")).collect()
     body = "".join(f"<item><title>{escape(r['title'] or '')}</title><link>{escape(r['link'])}</link><guid isPermaLink=\"false\">{escape(r['guid'])}</guid><pubDate>{r['pub']}</pubDate><description>{escape(r['description'] or '')}</description></item>" for r in rows)
     return f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{escape(title)}</title><link>{escape(link)}</link><description>{escape(title)}</description>{body}</channel></rss>'
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyweft import schema
-from storyweft.operators import cluster, geo, rank
+from storyweft.operators import cluster, geo, rank, store
 from storyweft.plans.views import SKIPPED_HOSTS, Views, sort_sightings
-from storyweft.queries import _BY, _HELD, _HIDDEN, _KEY, _MERGED_IDS, _PAIRS, _STEM, _STOP, _TOKENS, _WINDOW, SQL, _polls, query
+from storyweft.queries import _BY, _HELD, _HIDDEN, _KEY, _MERGED_IDS, _PAIRS, _STEM, _STOP, _TOKENS, _WINDOW, SQL, _halves, _polls, query
 from storyweft.sources import files
 
 _NOW = "TIMESTAMP '2026-10-01'"
@@ -339,3 +339,58 @@ _BUILT = f"""{_PAIRS},
     story AS (SELECT arg_min(id, (published_at, id)) AS id, list(id) AS items FROM final JOIN num USING (i) GROUP BY label)"""
 _ROLLED = SQL["rolled_up_stories"].removeprefix(f"WITH RECURSIVE {_ALL_MEMBERS}, {_TOKENS},")
 SQL["story_board"] = f"SELECT id, title, primary_id, CAST(len(string_split(items, ',')) AS INT) AS members, publishers, tier, corroboration, topics, flags, first_published, latest_published, score FROM (WITH RECURSIVE {_BUILT}, {_ALL_MEMBERS}, {_ROLLED})"
+
+
+# --- documents of views ----------------------------------------------------------------------------------------
+
+
+@query
+def topic_feed(spark, sf_dir):
+    """The fifty best stories of a topic as its feed has them."""
+    v = Views.load(spark, sf_dir)
+    return files.first_of_feed(files.feed_items(v.all_clusters.where(F.array_contains("topics", "fortean")), v.items, "https://site.example")).select("title", "link", "published", "description")
+
+
+_OWN_TOPIC = f"(SELECT * FROM story WHERE NOT {_HIDDEN} AND list_contains(topics, 'fortean') ORDER BY score DESC NULLS LAST, latest_published DESC, id LIMIT 50)"
+SQL["topic_feed"] = f"SELECT title, 'https://site.example/story/' || id || '/' AS link, latest_published AS published, concat_ws(' ', snippet, CASE WHEN len(publishers) > 1 THEN 'Carried by ' || array_to_string(publishers[1:6], ', ') ELSE 'From ' || publishers[1] END) AS description FROM {_OWN_TOPIC}"
+
+
+@query
+def sighting_json(spark, sf_dir):
+    """Sightings as lines of JSON."""
+    return files.json_lines(_sightings(spark, sf_dir).select("id", "date", "place", "admin", "precision", "outlets"))
+
+
+SQL["sighting_json"] = _SIGHTED + """ SELECT '{' || array_to_string(list_filter(['"id":' || to_json(id), '"date":"' || strftime(date, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(date) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z"', '"place":' || to_json(place), '"admin":' || to_json(admin), '"precision":' || to_json(precision), '"outlets":' || outlets], lambda x: x IS NOT NULL), ',') || '}' AS json FROM sight"""
+
+
+@query
+def frequency_json(spark, sf_dir):
+    """Daily counts as lines of JSON."""
+    return files.json_lines(frequency_table(spark, sf_dir))
+
+
+SQL["frequency_json"] = f"""SELECT '{{"date":"' || date || '","reports":' || reports || ',"placed_on_map":' || placed_on_map || '}}' AS json FROM ({SQL["frequency_table"]})"""
+
+
+@query
+def run_totals(spark, sf_dir):
+    """What a run that brings the later half of the items adds, and what is kept then."""
+    old, new = _halves(spark, sf_dir)
+    return store.run_totals(store.upsert(store.merge_first_wins(old), store.merge_first_wins(new)), F.to_timestamp(F.lit("2026-10-01")))
+
+
+SQL["run_totals"] = f"""WITH o AS ({SQL["upsert_outcomes"]}), m AS (SELECT id, arg_min(published_at, (CASE WHEN first_seen_at < TIMESTAMP '2026-06-01' THEN 0 ELSE 1 END, first_seen_at, published_at, url, coalesce(image, ''))) AS published_at FROM item GROUP BY id)
+    SELECT coalesce((SELECT ids FROM o WHERE outcome = 'added'), 0) AS added, coalesce((SELECT ids FROM o WHERE outcome = 'updated'), 0) AS updated, count(*) AS kept, count(*) FILTER (published_at >= TIMESTAMP '2026-09-01') AS recent FROM m"""
+
+
+@query
+def built_sections(spark, sf_dir):
+    """Views over stories built from the items: the best three visible stories of each topic, with their members."""
+    stored = Views.load(spark, sf_dir)
+    v = Views.build(stored.items, stored.articles, stored.sources, stored.now)
+    return rank.top_per_topic(v.all_clusters, 3).select("topic", "place", "id", F.size("items").alias("members"))
+
+
+SQL["built_sections"] = f"""SELECT topic, CAST(place AS INT) AS place, id, members FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC NULLS LAST, latest_published DESC, id) AS place
+    FROM (SELECT *, unnest(string_split(topics, ',')) AS topic FROM ({SQL["story_board"]}) WHERE topics <> '' AND NOT list_has_any(string_split(flags, ','), {schema.HIDDEN_FLAGS}))) WHERE place <= 3"""

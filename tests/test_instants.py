@@ -125,7 +125,7 @@ def test_misdated(spark):
 
 
 def test_the_order_of_records_decides(spark, monkeypatch):
-    """Where no edition is known, days first in the records around outweigh the country's habit; without the chain they don't, nor against an edition."""
+    """Where no edition is known, the days first in the records around decide; without the chain they don't, nor against an edition."""
     from storyweft.operators import instants
 
     texts = ["13/05/2026 08:00", "05/06/2026 09:00", "14/06/2026 08:00", "15/06/2026 08:00"]
