@@ -155,3 +155,37 @@ def test_paragraphs_have_the_language_s_length(spark):
     rows = [(f"e{i}", "\n".join(report(rng, 3, 60)), "en-GB") for i in range(30)] + [(f"z{i}", "\n".join(report(rng, 3, 8)), "ZH") for i in range(30)]
     words = pages.vocabulary(spark.createDataFrame(rows, "id string, content string, lang string"))
     assert words.least_words("en") == 30 and words.least_words("zh") == 4 and words.least_words("xx") in (4, 30)
+
+
+def test_what_a_part_of_a_line_tells_holds_of_the_whole():
+    rng = random.Random(3)
+    common, rare = [f"c{i}" for i in range(40)], [f"Rß{i}" for i in range(4000)]
+    usual, told = frozenset(common), set()
+    for _ in range(4000):
+        n, share = rng.randint(12, 130), rng.choice([0, 0.03, 0.05, 0.2, 0.25, 0.6])
+        pool = rare if rng.random() < 0.7 else rare[: rng.randint(1, 40)]
+        w = [rng.choice(common) if rng.random() < share else rng.choice(pool) for _ in range(n)]
+        if rng.random() < 0.3:
+            w.sort()  # all usual words at one end
+        line, low = " ".join(w), [x.casefold() for x in w]
+        known = sum(x in usual for x in low)
+        assert pages.is_odd(line, usual) == (known < pages.CORE_SHARE * n)
+        parts = [low[i : i + 48] for i in range(0, n, 48)]
+        if len(parts) > 1 and len(parts[-1]) < 12:
+            parts.pop()
+        filler = known < 0.2 * n or 2 * sum(len(set(p)) < 0.35 * len(p) for p in parts) > len(parts)
+        assert residue.is_filler(line, usual) == filler
+        told.add((pages.is_odd(line, usual), filler))
+    assert len(told) >= 3
+
+
+def test_plain_words_are_told_like_all_others():
+    words = ["owl", "Owl", "OWL", "owlMill", "None", "null", "nil", "undefined", "NaN", "Null", "x", "X", "ß", "Ǆ", "字", "été", "HEADLINE_A", "N/A", "Ⓢ"]
+    unfilled = {w for w in words if pages.MARKED.match(w) or pages.BLANK.fullmatch(w) or pages.NO_VALUE.fullmatch(w) or pages.VARIABLE.fullmatch(w)}
+    assert {w for w in words if pages.is_unfilled(w)} == unfilled == {"owlMill", "None", "null", "nil", "undefined", "NaN", "HEADLINE_A", "N/A"}
+    assert [pages.token_mask(w, False, False) for w in ("owl", "Owl", "OWL", "ß", "Ⓢ")] == ["owl", "N", "N", "ss", "Ⓢ"]
+    assert pages.token_mask("Owl", True, False) == "owl" and pages.token_mask("OWL", False, True) == "owl"
+    read = pages.Former(pages.Masker())
+    assert read("by Ann Lee for The Owl, 3 pm", None) == (["by", "N", "for", "N", "#", "pm"], "by \0 for \0 pm", ["Ann Lee", "The Owl, 3"])
+    assert read("by [name of author] | desk", None)[2] == [None]
+    assert list(read("still owls", None)[0]) == ["still", "owls"]
