@@ -231,3 +231,31 @@ def test_residue_reads_and_judges_what_it_needs(corpus, monkeypatch):
     monkeypatch.setattr(pages, "AT_ONCE", 50)
     small = pages.lines(plain, key="id", words=words)
     assert rows(small, *small.columns) == rows(whole, *small.columns)
+
+
+def test_wider_classes_are_joined_to_kinds_of_lines(corpus, monkeypatch):
+    """Figures of wider classes are those of all their lines, and are joined to the kinds of lines, not to each line."""
+    line = pages.lines(corpus.drop("k", "no", "template"), key="id", excerpt="excerpt").cache()
+    joined, join = {}, pages.salted_join
+    monkeypatch.setattr(pages, "salted_join", lambda rows, stats, keys, *args, **more: joined.update({tuple(keys): rows.count()}) or join(rows, stats, keys, *args, **more))
+    got = {(r["k"], r["no"], r["bare"], round(r["shared"], 9), round(r["whole"], 9)) for r in pages.judged(line, False, 3).where("no >= -1").collect()}
+    rows = line.where("k1 is not null").collect()
+    assert any(r["weight"] < 1 for r in rows) and any(r["no"] == -1 for r in rows) and any(r["bare"] for r in rows)
+    sums: dict = {}
+    for r in rows:
+        for c in (("k1", r["k1"]), ("k2", r["k2"]), ("k3", r["k3"])):
+            if r["no"] >= 0:
+                of = sums.setdefault(c, [0, 0, 0, 0])
+                for i, x in enumerate((r["outside"] is not None, r["outside"], True, r["bare"])):
+                    of[i] += r["weight"] * bool(x)
+    expected = set()
+    for r in rows:
+        shared, whole = pages.USUAL_OUTSIDE, pages.USUAL_BARE
+        for c in ("k3", "k2", "k1"):
+            n, out, m, bares = sums.get((c, r[c]), [0] * 4)
+            if m > 1.001:
+                shared, whole = (out + 8 * shared) / (n + 8), (bares + 8 * whole) / (m + 8)
+        expected.add((r["k"], r["no"], r["bare"], round(shared, 9), round(whole, 9)))
+    assert expected <= got and len(got) == len(expected | {(r["k"], r["no"]) for r in line.where("k1 is null and k0 is not null").collect()})
+    assert max(joined["k1",], joined["k2",], joined["k3",]) < len(rows) / 4
+    assert pages._without_digits("Of 12, 3 owls #") == pages._number("of #, # owls #") != pages._without_digits("Of ##, 3 owls #")
