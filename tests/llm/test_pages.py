@@ -259,3 +259,47 @@ def test_wider_classes_are_joined_to_kinds_of_lines(corpus, monkeypatch):
     assert expected <= got and len(got) == len(expected | {(r["k"], r["no"]) for r in line.where("k1 is null and k0 is not null").collect()})
     assert max(joined["k1",], joined["k2",], joined["k3",]) < len(rows) / 4
     assert pages._without_digits("Of 12, 3 owls #") == pages._number("of #, # owls #") != pages._without_digits("Of ##, 3 owls #")
+
+
+def test_lines_of_a_record_stay_one_row(corpus, monkeypatch):
+    """What is cut is a row for each stored record, its lines together and all copies weighed as one."""
+    cuts: list = []
+    monkeypatch.setattr(pages, "cut", lambda df, cut=pages.cut: cuts.append(cut(df)) or cuts[-1])
+    plain = corpus.drop("k", "no", "template")
+    words = pages.vocabulary(plain)
+    assert len(cuts) == 1
+    pages.classified(plain, key="id", words=words)
+    held = next(df for df in cuts if "lines" in df.columns)
+    stored = plain.where("id is not null and content != ''").groupBy("id").count().collect()
+    rows = held.collect()
+    assert sorted(r["k"] for r in rows) == sorted(r["id"] for r in stored for _ in range(r["count"])) and len(rows) < len({r["k"] for r in rows}) + 4
+    assert {r["k"]: r["weight"] for r in rows} == {r["id"]: 1 / r["count"] for r in stored}
+    line = pages.each_line(held)
+    assert line.count() == sum(len(r["lines"]) for r in rows) > 10 * len(rows) / 2
+    one = line.where("k = 'a050' and no >= 0")
+    assert one.select("k0").distinct().count() == one.where("first").count() > 4
+
+
+def test_lines_below_the_least_share_are_left_out_early(corpus):
+    """Lines that no host's class can raise to the least share are left out before host classes are joined; all others are as they were."""
+    line = pages.lines(corpus.drop("k", "no", "template"), key="id", excerpt="excerpt").cache()
+    rows = lambda df: sorted(str((r["k"], r["no"], r["bare"], round(r["template"], 9), round(r["whole"], 9))) for r in df.where(F.col("bare") | (F.col("template") >= pages.OUTSIDE)).collect())
+    every, some = pages.judged(line), pages.judged(line, least=pages.OUTSIDE)
+    assert rows(every) == rows(some) and some.count() < every.count()
+
+
+def test_a_beginning_never_hides_an_odd_line():
+    """A stored line that is passed over by what stands before its first inner tag isn't odd, nor is a short one."""
+    rng = random.Random(8)
+    core, other = ["the", "of", "und"], ["vento", "Umbra", "<b>salix</b>", "a<i>b</i>c", "x y", "5 < 6", "<br/>", '<a href="the of the">', "</a>", "\t", "ß"]
+    passed = odd = 0
+    for _ in range(4000):
+        share = rng.choice([0, 0.04, 0.06, 0.3])
+        line = rng.choice(["", "<p>", "<div><p>", " ", "<p"]) + " ".join(rng.choice(core if rng.random() < share else other) for _ in range(rng.randint(4, 60)))
+        words = " ".join(next(pages.shown_words(line)))
+        real = words.count(" ") + 1 >= pages.FILLER_LINE and pages.is_odd(words, frozenset(core))
+        may = pages.may_be_odd(line, frozenset(core))
+        assert may or not real
+        assert pages.holds_odd(f"<p>a</p>\n{line}\nb", frozenset(core)) == real
+        passed, odd = passed + (not may), odd + real
+    assert passed > 100 and odd > 100
